@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import slices
 from .store import keep, parts
@@ -632,7 +633,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
 
     d = docs.select(*[docs[n] for n in names])
     is_short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
-    schema = d.schema.add("ids", "array<int>")
+    schema = T.StructType([*d.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     small = d.filter(is_short).select(d.text.alias("__text"), *[d[n] for n in names]).mapInArrow(short, schema)
 
     # long texts: a key for each, so that repeated ids and rows stay apart
@@ -721,11 +722,13 @@ def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None,
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*names, out])
 
     e = encoded.select(encoded.ids.alias("__ids"), *[encoded[n] for n in names])
-    return e.mapInArrow(run, encoded.select(*names).schema.add(out, "string"))
+    return e.mapInArrow(run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op1_max_plus_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = encode(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
-    back = decode(got, out="decoded").withColumnRenamed("decoded", "decoded_")
-    return back.select("doc_id", "n_pieces", "text_sha256", F.sha2(F.encode("decoded_", "UTF-8"), 256).alias("decoded_sha256"))
+    got = encode(docs).select(
+        "doc_id", F.col("ids").alias("pieces"), "ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
+    )
+    back = decode(got, out="decoded")
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "text_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
