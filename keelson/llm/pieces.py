@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +38,9 @@ from .store import keep, parts
 #: Where the public vocabularies are; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk.
-CHUNK = 32_768
+CHUNK = 65_536
 #: Words whose pieces a worker remembers.
-MEMORY = 500_000
+MEMORY = 250_000
 #: Longer words are solved one by one.
 WIDE = 48
 META = "▁"
@@ -109,10 +110,13 @@ class Model:
         self.bounded = not any(META in t.lstrip(META) for t in self.ids)
         self.lowest = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self._fits: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._was: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._was: dict[str, bytes] = {}
         self.table = _Table(self) if self.kind == "bpe" else None
-        self.out = [self._shown(i) for i in range(len(self.text))]
+        shown = [self._shown(i) for i in range(len(self.text))]
+        self.out_bytes = np.frombuffer(b"".join(shown), np.uint8)
+        self.out_size = np.array([len(x) for x in shown], np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
 
     # -- weights -----------------------------------------------------------
 
@@ -202,7 +206,7 @@ class Model:
                 out.append(self.unknown)
         return out
 
-    def recall(self, stretches: set[str]) -> dict[str, tuple[int, ...]]:
+    def recall(self, stretches: set[str]) -> dict[str, bytes]:
         """Ids of stretches between two word starts, each given without its leading mark: one matrix, one state on either side."""
         known, was = self._known, self._was
         if len(known) + len(stretches) > MEMORY:
@@ -221,7 +225,7 @@ class Model:
             known.update(zip(short, self.table.solve([self.stretch(t) for t in short]), strict=True))
             rest = [t for t in rest if len(t) >= WIDE or t == BARE]
         for t in rest:
-            known[t] = tuple(self.numbers(self.best(self.stretch(t))))
+            known[t] = packed(self.numbers(self.best(self.stretch(t))))
         return known
 
     @staticmethod
@@ -261,31 +265,31 @@ class Model:
                 p += 1
         return -1
 
-    def words(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that start and end at word starts."""
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that start and end at word starts."""
         if not self.bounded:
-            return [self.numbers(self.best(t)) if t else [] for t in texts]
+            return [packed(self.numbers(self.best(t)) if t else []) for t in texts]
         plain = [BARE not in t for t in texts]
         cut = META + BARE + "\n" + META + BARE
         lines = [(t.replace("\n", cut) if self.breaks else t).split(META) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         collecting = gc.isenabled()
-        gc.disable()  # many small tuples, and no cycles among them
+        gc.disable()  # many small objects, and no cycles among them
         known = self.recall(set(chain.from_iterable(lines)))
         out = []
         for t, line in zip(texts, lines, strict=True):
             if not line:
-                out.append(self.numbers(self.best(t)))
+                out.append(packed(self.numbers(self.best(t))))
             elif not line[0] and line.count("") == 1:
-                out.append(list(chain.from_iterable(map(known.__getitem__, line[1:]))))
+                out.append(b"".join(map(known.__getitem__, line[1:])))
             else:
                 out.append(self.runs(line, known))
         if collecting:
             gc.enable()
         return out
 
-    def runs(self, line: list[str], known: dict) -> list[int]:
+    def runs(self, line: list[str], known: dict) -> bytes:
         """Ids of a text, cut at marks, that has runs of them or doesn't begin with one."""
-        ids = self.numbers(self.best(line[0])) if line[0] else []
+        ids = [packed(self.numbers(self.best(line[0])))] if line[0] else []
         run, final = 1, len(line) - 1
         for i in range(1, len(line)):
             t = line[i]
@@ -293,14 +297,14 @@ class Model:
                 run += 1
                 continue
             if run == 1:
-                ids += known[t]
+                ids.append(known[t])
             elif t[:1] == BARE:
-                ids += self.numbers(self.best(META * (run - 1)))
-                ids += known[t]
+                ids.append(packed(self.numbers(self.best(META * (run - 1)))))
+                ids.append(known[t])
             else:
-                ids += self.numbers(self.best(META * run + t))
+                ids.append(packed(self.numbers(self.best(META * run + t))))
             run = 1
-        return ids
+        return b"".join(ids)
 
     # -- chunks --------------------------------------------------------------
 
@@ -362,7 +366,7 @@ class Model:
             head = self.trace(back, max((s for s in w if s[0] == sync), key=lambda s: w[s]))
             tail = self.starts(text, max(sync, stop - 2 * self.widest - 64), stop)
             tail = tail if tail >= 0 else sync
-            ids = self.numbers(head) + self.words([text[sync:tail]])[0]
+            ids = self.numbers(head) + unpacked(self.words([text[sync:tail]])[0])
             at, first = tail, None
         else:
             ids = []
@@ -379,25 +383,33 @@ class Model:
         return (META if self.prefix and text else "") + text.replace(" ", META)
 
     def encode(self, text: str) -> list[int]:
-        return self.words([self.prepared(text)])[0]
+        return unpacked(self.words([self.prepared(text)])[0])
 
-    def _shown(self, i: int) -> str:
+    def _shown(self, i: int) -> bytes:
         k = self.type[i]
-        return "" if k == _CONTROL else " ⁇ " if k == _UNKNOWN else self.text[i].replace(META, " ")
+        if k == _BYTE:
+            return bytes([int(self.text[i][1:-1], 16)])
+        return b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else self.text[i].replace(META, " ").encode()
+
+    def decode_flat(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
+        """Texts of runs of ids; bytes that aren't UTF-8 become replacement characters."""
+        size = self.out_size[ids]
+        ends = np.cumsum(size)
+        raw = self.out_bytes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.out_start[ids] - (ends - size), size)].tobytes()
+        at = np.concatenate([[0], ends])[offs].tolist()
+        out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [t[1:] if t[:1] == " " else t for t in out] if self.prefix else out
 
     def decode(self, ids: list[int]) -> str:
-        if not self.bytes or not any(self.type[i] == _BYTE for i in set(ids)):
-            text = "".join([self.out[i] for i in ids])
-        else:
-            raw = bytearray()
-            code = {i: b for b, i in self.bytes.items()}
-            for i in ids:
-                if i in code:
-                    raw.append(code[i])
-                else:
-                    raw += self.out[i].encode()
-            text = raw.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_flat(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, np.int32).tolist()
 
 
 class _Table:
@@ -470,7 +482,7 @@ class _Table:
             self.keys[at], self.fit[at] = key, merge(a + b) == [a, b]
         self.held += len(fresh)
 
-    def solve(self, words: list[str]) -> list[tuple[int, ...]]:
+    def solve(self, words: list[str]) -> list[bytes]:
         """Ids of each word; none is empty, all shorter than WIDE + 1."""
         if not words:
             return []
@@ -523,13 +535,14 @@ class _Table:
             b = np.where(live, last[at, every], -1)
             steps.append(b)
             at = at - np.where(live, np.where(b < self.size, self.width[np.minimum(np.maximum(b, 0), self.size - 1)], 1), 0)
-        grid = np.array(steps[::-1]).T
-        odd = (grid >= self.size).any(axis=1)
-        many = (grid >= 0).sum(axis=1).tolist()
+        grid = np.ascontiguousarray(np.array(steps[::-1]).T.astype(np.int32))
+        odd = np.flatnonzero((grid >= self.size).any(axis=1)).tolist()
+        many, wide, raw = (grid >= 0).sum(axis=1).tolist(), grid.shape[1], grid.tobytes()
         out: list = [None] * len(words)
-        for i, line, n, strange in zip(order, grid.tolist(), many, odd.tolist(), strict=True):
-            ids = line[len(line) - n :]
-            out[i] = tuple(self.model.numbers([self._name(k) for k in ids])) if strange else tuple(ids)
+        for r, (i, n) in enumerate(zip(order, many, strict=True)):
+            out[i] = raw[4 * ((r + 1) * wide - n) : 4 * (r + 1) * wide]
+        for r in odd:
+            out[order[r]] = packed(self.model.numbers([self._name(k) for k in grid[r].tolist() if k >= 0]))
         return out
 
 
@@ -601,11 +614,11 @@ def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def _ids_array(lists: list) -> pa.Array:
-    size = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+def _ids_array(lists: list[bytes], null: list[bool]) -> pa.Array:
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offs[-1]))
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
+    mask = pa.array(null, pa.bool_()) if any(null) else None
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(lists), np.int32)), mask=mask)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: str | None = None) -> DataFrame:
@@ -625,10 +638,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
             for part in slices(batch, "__text"):
                 texts = part.column(0).to_pylist()
                 ids = m.words([m.prepared(t or "") for t in texts])
-                col = _ids_array(ids)
-                if part.column(0).null_count:
-                    mask = pa.array([t is None for t in texts])
-                    col = pa.array([None if n else x for n, x in zip(mask.to_pylist(), ids, strict=True)], pa.list_(pa.int32()))
+                col = _ids_array(ids, [t is None for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], col], [*names, "ids"])
 
     d = docs.select(*[docs[n] for n in names])
@@ -718,7 +728,10 @@ def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None,
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if x is None else m.decode(x) for x in part.column(0).to_pylist()]
+                col = part.column(0)
+                size = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+                texts = m.decode_flat(col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]))
+                texts = [t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*names, out])
 
     e = encoded.select(encoded.ids.alias("__ids"), *[encoded[n] for n in names])
