@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import byte_size, with_position
+from ..operators import cache, latest, log, segments, sketch
+from ..sources import config
+from ..streaming import apply
+
 QUERIES, SQL = {}, {}
 
 
@@ -17,7 +23,368 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS k, arg_max(value, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def _t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark, sf_dir: str) -> DataFrame:
+    """events as a versioned table: k, v, seq."""
+    e = _t(spark, sf_dir, "events").filter("user_id IS NOT NULL AND value IS NOT NULL")
+    return e.select(F.col("user_id").cast("string").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("seq"))
+
+
+_E = "e AS (SELECT CAST(user_id AS VARCHAR) AS k, value AS v, event_id AS seq FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)"
+
+
+def _orders(spark, sf_dir: str) -> DataFrame:
+    """orders as key-value rows in sixteen segments by order key."""
+    o = _t(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_totalprice").alias("v"), (F.col("o_orderkey") % 16).alias("sst_id"))
+
+
+_O = "o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_totalprice AS v, o_orderkey % 16 AS sst_id FROM orders)"
+
+
+# -- latest-wins views and look-ups ------------------------------------------
+
+
+@query(f"WITH {_E} SELECT k, arg_max(v, seq) AS v FROM e GROUP BY k")
 def latest_wins(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL")
-    return e.groupBy(F.col("user_id").cast("string").alias("k")).agg(F.max_by("value", "event_id").alias("v"))
+    return latest.latest(_events(spark, sf_dir))
+
+
+@query(f"WITH {_E} SELECT k, v, seq FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1")
+def latest_wins_ranked(spark, sf_dir):
+    return latest.latest_ranked(_events(spark, sf_dir), "k", "seq")
+
+
+@query(f"WITH {_E} SELECT k, arg_max(v, seq) AS v FROM e WHERE k = '13' GROUP BY k")
+def point_get(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("user_id = 13 AND value IS NOT NULL")
+    return latest.latest(e.select(F.col("user_id").cast("string").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("seq")))
+
+
+@query(
+    "WITH v AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1) "
+    "SELECT c_custkey AS k, v.v AS v, v.o_custkey IS NOT NULL AS found FROM customer LEFT JOIN v ON c_custkey = o_custkey"
+)
+def multi_get(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
+    return latest.multi_get(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), latest.latest(o))
+
+
+@query(
+    f"WITH {_E}, s AS (SELECT *, CAST(seq % 4 AS INT) AS level FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, seq DESC) AS r FROM s) "
+    "SELECT k, v, level FROM r WHERE r = 1"
+)
+def first_hit_levels(spark, sf_dir):
+    s = _events(spark, sf_dir).withColumn("level", (F.col("seq") % 4).cast("int"))
+    return latest.first_hit(s, "k", "v", "level", "seq")
+
+
+@query(
+    f"WITH {_E}, live AS (SELECT k, arg_max(v, seq) AS v FROM e GROUP BY k) "
+    "SELECT k, v FROM live WHERE k NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0)"
+)
+def buffer_delete(spark, sf_dir):
+    gone = _t(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("k"))
+    return latest.delete_keys(latest.latest(_events(spark, sf_dir)), gone)
+
+
+@query(
+    "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS k, value AS v, event_id AS seq, CASE WHEN event_type = 'refund' OR event_id % 10 = 0 THEN 1 ELSE 0 END AS mode "
+    "FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM l) SELECT k, v FROM r WHERE r = 1 AND mode = 0"
+)
+def log_delete(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("value IS NOT NULL")
+    mode = F.when((F.col("event_type") == "refund") | (F.col("event_id") % 10 == 0), 1).otherwise(0)
+    rows = e.select(F.col("user_id").cast("string").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("seq"), mode.alias("mode"))
+    return latest.without_deleted(rows)
+
+
+@query(
+    "WITH live AS (SELECT CAST(o_custkey AS VARCHAR) AS k, CAST(max(o_orderkey) AS VARCHAR) AS v FROM orders GROUP BY 1) "
+    "SELECT count(*) AS entries, CAST(sum(strlen(k) + strlen(v)) AS BIGINT) AS bytes FROM live"
+)
+def memtable_bytes(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("k")).agg(F.max("o_orderkey").cast("string").alias("v"))
+    return o.agg(F.count(F.lit(1)).alias("entries"), F.sum(byte_size("k", "v")).alias("bytes"))
+
+
+@query(f"WITH {_E}, live AS (SELECT k, arg_max(v, seq) AS v FROM e GROUP BY k) SELECT k, v, row_number() OVER (ORDER BY k) AS pos FROM live")
+def ordered_scan(spark, sf_dir):
+    return with_position(latest.latest(_events(spark, sf_dir)), ["k"])
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS k, o_totalprice AS v FROM orders WHERE CAST(o_orderkey AS VARCHAR) BETWEEN '10' AND '20'")
+def range_scan(spark, sf_dir):
+    return _orders(spark, sf_dir).filter(F.col("k").between("10", "20")).select("k", "v")
+
+
+# -- segments, manifest, compaction ---------------------------------------------
+
+
+@query(f"WITH {_O} SELECT sst_id, min(k) AS first_key, max(k) AS last_key, count(*) AS n, CAST(sum(strlen(k)) AS BIGINT) AS bytes FROM o GROUP BY sst_id")
+def segment_minmax(spark, sf_dir):
+    return segments.describe(_orders(spark, sf_dir), "sst_id", "k")
+
+
+_RANGES = "SELECT CAST(o_orderkey AS VARCHAR) AS k, substr(CAST(o_orderkey AS VARCHAR), 1, 2) AS p FROM orders"
+
+
+@query(
+    f"WITH r AS ({_RANGES}), m AS (SELECT min(k) AS first_key, CAST(p AS BIGINT) AS sst_id FROM r GROUP BY p), "
+    "q AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k FROM customer) SELECT q.k, m.sst_id FROM q ASOF LEFT JOIN m ON q.k >= m.first_key"
+)
+def asof_segment_lookup(spark, sf_dir):
+    r = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
+    m = segments.describe(r.withColumn("sst_id", F.substring("k", 1, 2).cast("long")), "sst_id", "k")
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")).distinct()
+    return segments.locate(keys, m, "k", "sst_id")
+
+
+@query(
+    f"WITH r AS ({_RANGES}), m AS (SELECT p, min(k) AS f, max(k) AS l FROM r GROUP BY p), "
+    "b AS (SELECT CAST(o_custkey AS VARCHAR) AS k, o_custkey % 8 AS s FROM orders), n AS (SELECT s, min(k) AS f, max(k) AS l FROM b GROUP BY s) "
+    "SELECT CAST(m.p AS BIGINT) AS left_id, n.s AS right_id FROM m JOIN n ON m.l >= n.f AND m.f <= n.l"
+)
+def segment_overlap(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    r = o.select(F.col("o_orderkey").cast("string").alias("k")).withColumn("sst_id", F.substring("k", 1, 2).cast("long"))
+    b = o.select(F.col("o_custkey").cast("string").alias("k"), (F.col("o_custkey") % 8).alias("sst_id"))
+    return segments.overlaps(segments.describe(r, "sst_id", "k"), segments.describe(b, "sst_id", "k"))
+
+
+@query(
+    "WITH a AS (SELECT CAST(l_orderkey AS VARCHAR) AS k, max(l_extendedprice) AS v FROM lineitem GROUP BY 1), "
+    "b AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0) "
+    "SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM b FULL JOIN a ON a.k = b.k"
+)
+def compaction_merge(spark, sf_dir):
+    old = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("k")).agg(F.max("l_extendedprice").alias("v"))
+    new = _orders(spark, sf_dir).filter(F.col("k").cast("long") % 3 == 0)
+    return segments.merge([new, old], "k", "v")
+
+
+@query(
+    f"WITH {_O}, m AS (SELECT sst_id, min(k) AS f, max(k) AS l FROM o GROUP BY sst_id), "
+    "u AS (SELECT CAST(1 AS INT) AS level, sst_id, f, l FROM m WHERE sst_id NOT IN (1, 2, 3) "
+    "UNION ALL SELECT 1, 100, min(f), max(l) FROM m WHERE sst_id IN (1, 2, 3)) "
+    "SELECT level, sst_id, f AS first_key, l AS last_key, row_number() OVER (PARTITION BY level ORDER BY f, sst_id) AS pos FROM u"
+)
+def compaction_splice(spark, sf_dir):
+    m = segments.describe(_orders(spark, sf_dir), "sst_id", "k").withColumn("level", F.lit(1))
+    new = m.filter("sst_id IN (1, 2, 3)").agg(F.lit(100).cast("long").alias("sst_id"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    return segments.splice(m, [1, 2, 3], new, 1)
+
+
+@query(
+    f"WITH {_O}, m AS (SELECT sst_id, CAST(sst_id % 3 AS INT) AS level, sum(strlen(k)) AS b FROM o GROUP BY sst_id) "
+    "SELECT level, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS n, sum(b) > CASE level WHEN 0 THEN 1024 WHEN 1 THEN 10485760 ELSE 104857600 END AS \"full\" FROM m GROUP BY level"
+)
+def level_size_trigger(spark, sf_dir):
+    m = segments.describe(_orders(spark, sf_dir), "sst_id", "k").withColumn("level", (F.col("sst_id") % 3).cast("int"))
+    return segments.due(m)
+
+
+# -- sketches ---------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS members, CAST(0 AS BIGINT) AS false_negatives FROM (SELECT DISTINCT o_custkey FROM orders)")
+def bloom_probe(spark, sf_dir):
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("k")).distinct()
+    bits, of = sketch.probe(keys, "k")
+    asked = keys.select("k", F.explode(of).alias("b")).join(bits, F.col("b") == F.col("bit"), "left")
+    per = asked.groupBy("k").agg(F.count_if(F.col("bit").isNull()).alias("missing"))
+    return per.agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("missing") > 0).alias("false_negatives"))
+
+
+@query("SELECT user_id & 1023 AS bucket, least(count(*), 15) AS estimate FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def freq_sketch_sat(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    return sketch.saturating(e, F.col("user_id").bitwiseAND(F.lit(1023)))
+
+
+@query(
+    "WITH e AS (SELECT user_id & 1023 AS bucket, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS epoch FROM events WHERE user_id IS NOT NULL), "
+    "c AS (SELECT bucket, count(*) FILTER (epoch = 0) AS a, count(*) FILTER (epoch = 1) AS b FROM e GROUP BY bucket) "
+    "SELECT bucket, least((least(a, 15) >> 1) + b, 15) >> 1 AS estimate FROM c"
+)
+def freq_aging(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    return sketch.aged(e, F.col("user_id").bitwiseAND(F.lit(1023)), F.when(F.col("event_id") % 2 == 0, 0).otherwise(1), 2)
+
+
+# -- caches -------------------------------------------------------------------------
+
+
+@query("SELECT user_id AS k, max(event_id) AS last_seq FROM events GROUP BY user_id ORDER BY last_seq DESC LIMIT 50")
+def lru_topk(spark, sf_dir):
+    return cache.top_recent(_t(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id"), "k", "event_id", 50)
+
+
+@query(
+    "WITH r AS (SELECT user_id AS k, max(event_id) AS last_seq, user_id % 64 AS shard FROM events WHERE user_id IS NOT NULL GROUP BY user_id) "
+    "SELECT k, last_seq, shard FROM r QUALIFY row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC) <= 2"
+)
+def lru_sharded_topk(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("user_id IS NOT NULL").select(F.col("user_id").alias("k"), "event_id")
+    return cache.top_recent_sharded(e, "k", "event_id", F.col("k") % 64, 2)
+
+
+def _trace(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("k")).filter("k IS NOT NULL")
+
+
+@query()
+def lru_sim(spark, sf_dir):
+    return cache.simulate(_trace(spark, sf_dir), lambda: cache.Lru(2, 0))
+
+
+@query()
+def tinylfu_sim(spark, sf_dir):
+    return cache.simulate(_trace(spark, sf_dir), lambda: cache.TinyLfu(4), period=1000)
+
+
+# -- log and decisions -----------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT k, arg_max(v, seq) AS v FROM e WHERE seq <= 5000 GROUP BY k")
+def log_replay_committed(spark, sf_dir):
+    return log.replay(_events(spark, sf_dir), 5000, "seq", "k", "v")
+
+
+@query(
+    "WITH l AS (SELECT event_id AS idx FROM events WHERE event_id % 7 <> 3), p AS (SELECT idx, lag(idx) OVER (ORDER BY idx) AS before FROM l) "
+    "SELECT idx, before IS NULL OR before + 1 = idx AS ok FROM p"
+)
+def log_contiguity(spark, sf_dir):
+    return log.contiguity(_t(spark, sf_dir, "events").filter("event_id % 7 <> 3").select(F.col("event_id").alias("idx")), "idx")
+
+
+@query("SELECT event_id AS idx, user_id FROM events WHERE event_id <= 3000")
+def log_truncate(spark, sf_dir):
+    return log.truncate(_t(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "user_id"), 3000, "idx")
+
+
+@query("SELECT event_id AS idx, user_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 1000")
+def log_ring_retention(spark, sf_dir):
+    return log.retain(_t(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "user_id"), "idx", 1000)
+
+
+@query(
+    "SELECT *, greatest(event_id % 100, least(event_id % 150, event_id % 130)) AS commit_idx FROM (SELECT event_id FROM events)"
+)
+def commit_advance(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id")
+    return e.withColumn("commit_idx", log.advance(F.col("event_id") % 100, F.col("event_id") % 150, F.col("event_id") % 130))
+
+
+@query(
+    "WITH m AS (SELECT o_orderpriority AS grp, o_custkey AS node, max(o_orderkey) AS m FROM orders GROUP BY 1, 2), "
+    "s AS (SELECT grp, list_sort(list(m), 'DESC') AS ms FROM m GROUP BY grp) SELECT grp, CAST(len(ms) AS BIGINT) AS nodes, ms[CAST(len(ms) // 2 AS BIGINT) + 1] AS commit_idx FROM s"
+)
+def commit_index_majority(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("m"))
+    return log.commit_index(o, "grp", "node", "m")
+
+
+@query(
+    "WITH v AS (SELECT l_orderkey AS term, l_returnflag <> 'R' AS g FROM lineitem) "
+    "SELECT term, count(*) AS votes, count(*) FILTER (g) AS granted, count(*) FILTER (g) * 2 > count(*) AS elected FROM v GROUP BY term"
+)
+def vote_majority(spark, sf_dir):
+    v = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("term"), (F.col("l_returnflag") != "R").alias("g"))
+    return log.elections(v, "term", "g")
+
+
+@query(
+    "WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last_seen FROM events) "
+    "SELECT user_id, ts, last_seen FROM g WHERE ts > last_seen + INTERVAL 3600 SECOND"
+)
+def heartbeat_gaps(spark, sf_dir):
+    return log.gaps(_t(spark, sf_dir, "events"), "user_id", "ts", 3600)
+
+
+@query(
+    "WITH r AS (SELECT o_custkey AS k, o_totalprice AS v, o_orderkey % 3 AS node, o_orderkey AS seq FROM orders WHERE o_orderkey % 5 <> o_custkey % 5), "
+    "l AS (SELECT k, node, arg_max(v, seq) AS v FROM r GROUP BY k, node) SELECT k, arg_min(v, node) AS v, min(node) AS node FROM l GROUP BY k"
+)
+def replica_first_response(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 5 <> o_custkey % 5")
+    r = o.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), (F.col("o_orderkey") % 3).alias("node"), F.col("o_orderkey").alias("seq"))
+    per = r.groupBy("k", "node").agg(F.max_by("v", "seq").alias("v"))
+    return per.groupBy("k").agg(F.min_by("v", "node").alias("v"), F.min("node").alias("node"))
+
+
+@query(
+    "WITH a AS (SELECT n_nationkey AS id, n_name AS address FROM nation WHERE n_nationkey < 20) "
+    "SELECT c_custkey, CASE WHEN c_nationkey = c_custkey % 25 THEN 0 WHEN a.address IS NULL THEN -1 ELSE -2 END AS code, "
+    "CASE WHEN c_nationkey <> c_custkey % 25 THEN a.address END AS leader_address FROM customer LEFT JOIN a ON a.id = c_nationkey"
+)
+def leader_redirect(spark, sf_dir):
+    a = _t(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("address"))
+    c = _t(spark, sf_dir, "customer")
+    return log.redirect(c, a, F.col("c_nationkey"), F.col("c_nationkey") == F.col("c_custkey") % 25).select("c_custkey", "code", "leader_address")
+
+
+@query(
+    "SELECT o_orderkey, (o_orderkey % 7 > 3 AND o_custkey % 50 >= 25) OR (o_orderkey % 7 = 3 AND o_custkey % 2 = 0 AND o_custkey % 50 >= 25) AS granted FROM orders"
+)
+def vote_grant(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    voted = F.when(F.col("o_custkey") % 2 == 1, F.lit(1))
+    return o.select("o_orderkey", log.grant(F.col("o_orderkey") % 7, F.col("o_custkey") % 50, voted, F.lit(3), F.lit(25)).alias("granted"))
+
+
+# -- streams and configuration -------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT k, arg_max(v, seq) AS v FROM e GROUP BY k")
+def stream_latest_wins(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a stream reads a folder: the table itself where it is one, else the files of that name beside it
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir) if _is_file(spark, path) else apply.log_stream(spark, path, schema)
+    s = s.filter("user_id IS NOT NULL AND value IS NOT NULL").select(F.col("user_id").cast("string").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("seq"))
+    return apply.run_to_memory(apply.latest_stream(s, "k", "v", "seq"))
+
+
+def _is_file(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+@query(
+    "SELECT n.i AS id, '10.0.0.' || n.i AS ip, 9000 + n.i AS port, 3 AS peers, 4 AS local_id FROM (VALUES (1), (2), (3)) AS n(i)"
+)
+def config_parse(spark, sf_dir):
+    text = "3\n1 10.0.0.1 9001\n2 10.0.0.2 9002\n3 10.0.0.3 9003\n4 10.0.0.4 9004\n"
+    c = spark.createDataFrame([(text,)], "value string").select(config.parse(F.col("value")).alias("c"))
+    return c.select(F.explode("c.addresses").alias("a"), F.size("c.addresses").alias("peers"), F.col("c.local.id").alias("local_id")).select("a.*", "peers", "local_id")
+
+
+@query(
+    "SELECT conv_id, arg_max(text, turn) AS v, max(turn) AS turn FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
+)
+def latest_turn(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("v"), F.max("turn").alias("turn"))
+
+
+@query(
+    f"WITH {_E}, b AS (SELECT k, v, seq, sum(strlen(k) + 8) OVER (ORDER BY seq) AS upto FROM e) "
+    "SELECT CAST((upto - strlen(k) - 8) // 65536 AS BIGINT) AS buffer, count(*) AS n, max(seq) AS last_seq FROM b GROUP BY 1"
+)
+def buffer_rotation(spark, sf_dir):
+    """Write buffers by running bytes of the log, kept over ranges of seq rather than in one task."""
+    e = _events(spark, sf_dir).withColumn("_size", F.octet_length("k").cast("long") + 8)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = e.repartitionByRange(n, "seq").withColumn("_part", F.spark_partition_id())
+    local = r.withColumn("_upto", F.sum("_size").over(Window.partitionBy("_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
+    per = r.groupBy("_part").agg(F.sum("_size").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offs = F.broadcast(per.select(F.col("_part").alias("_p"), before.alias("_before")))
+    start = F.coalesce("_upto", F.lit(0)) + F.col("_before")
+    got = local.join(offs, F.col("_part") == F.col("_p")).withColumn("buffer", F.floor(start / 65536).cast("long"))
+    return got.groupBy("buffer").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
