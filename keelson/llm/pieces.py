@@ -21,6 +21,7 @@ start is a state of its own, and words that recur are looked up.
 from __future__ import annotations
 
 import gc
+import hashlib
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -40,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk.
 CHUNK = 65_536
 #: Words whose pieces a worker remembers.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Longer words are solved one by one.
 WIDE = 48
 META = "▁"
@@ -400,6 +401,10 @@ class Model:
         out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
         return [t[1:] if t[:1] == " " else t for t in out] if self.prefix else out
 
+    def digest(self, ids: bytes) -> str:
+        flat = np.frombuffer(ids, np.int32)
+        return hashlib.sha256(self.decode_flat(flat, np.array([0, len(flat)]))[0].encode()).hexdigest()
+
     def decode(self, ids: list[int]) -> str:
         return self.decode_flat(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
@@ -621,30 +626,37 @@ def _ids_array(lists: list[bytes], null: list[bool]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(lists), np.int32)), mask=mask)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: str | None = None, back: bool = False) -> DataFrame:
     """docs with a column ids array<int>; all rows and columns stay.
 
+    back adds decoded_sha256, of the text that the ids decode to, worked out
+    in the same worker, so that ids needn't be sent out twice.
+
     A null text has null ids, an empty one none.  A text of more than `chunk`
     characters is cut; its chunks are spread over tasks, and only their small
     matrices meet.  A column that is named ids already is replaced.
     """
-    names = [n for n in docs.columns if n != "ids"]
+    added = ["ids", "decoded_sha256"] if back else ["ids"]
+    names = [n for n in docs.columns if n not in added]
+    at = names.index("text")
     spark = docs.sparkSession
     shared = _Shared(spark, model_path, kind)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column(0).to_pylist()
+            for part in slices(batch, "text", 2 << 20):
+                texts = part.column(at).to_pylist()
                 ids = m.words([m.prepared(t or "") for t in texts])
-                col = _ids_array(ids, [t is None for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], col], [*names, "ids"])
+                cols = [*part.columns, _ids_array(ids, [t is None for t in texts])]
+                if back:
+                    cols.append(pa.array([None if t is None else m.digest(x) for t, x in zip(texts, ids, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, [*names, *added])
 
     d = docs.select(*[docs[n] for n in names])
     is_short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
-    schema = T.StructType([*d.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    small = d.filter(is_short).select(d.text.alias("__text"), *[d[n] for n in names]).mapInArrow(short, schema)
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())][: len(added)]
+    small = d.filter(is_short).mapInArrow(short, T.StructType([*d.schema.fields, *more]))
 
     # long texts: a key for each, so that repeated ids and rows stay apart
     row = F.struct(*[d[n] for n in names]).alias("row")
@@ -692,16 +704,16 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
             for r in batch.to_pylist():
                 two = lambda s: (s["j"], s["b"])
                 line = [[(two(x["f"]), two(x["t"]), x["w"]) for x in y["m"]] for y in sorted(r["ms"], key=lambda y: y["k"])]
-                at = cuts(line)
+                edges = cuts(line)
                 for k in range(len(line)):
-                    rows.append((r["doc"], k, *({"j": s[0], "b": s[1]} for s in at[k : k + 2])))
+                    rows.append((r["doc"], k, *({"j": s[0], "b": s[1]} for s in edges[k : k + 2])))
             yield _rows(["doc", "k", "f", "t"], [pa.int64(), pa.int32(), st, st], rows)
 
     per = mats.groupBy("doc").agg(F.collect_list(F.struct("k", "m")).alias("ms"))
     known = keep(per.mapInArrow(resolve, f"doc long, k int, f {state}, t {state}"), "cuts")
     known = known.select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "f", "t")
 
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
         for batch in batches:
             rows = []
@@ -711,16 +723,19 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
             yield _rows(["doc", "k", "ids"], [pa.int64(), pa.int32(), pa.list_(pa.int32())], rows)
 
     both = pieces.join(known, (F.col("doc") == F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc", "k", "n", "text", "start", "stop", "f", "t")
-    got = both.mapInArrow(back, "doc long, k int, ids array<int>")
+    got = both.mapInArrow(traced, "doc long, k int, ids array<int>")
     got = got.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("s"))
     got = got.select(F.col("doc").alias("_d"), F.flatten(F.transform("s", lambda x: x.ids)).alias("ids"))
     large = long_.join(got, F.col("doc") == F.col("_d")).select(*[F.col("row")[n].alias(n) for n in names], "ids")
+    if back:
+        large = decode(large.withColumn("__ids", F.col("ids")), model_path, kind, out="decoded_sha256", named="__ids")
+        large = large.withColumn("decoded_sha256", F.sha2(F.encode("decoded_sha256", "UTF-8"), 256))
     return small.unionAll(large)
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None, out: str = "text") -> DataFrame:
-    """encoded with ids replaced by the column `out`: their text; null for null ids."""
-    names = [n for n in encoded.columns if n not in ("ids", out)]
+def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None, out: str = "text", named: str = "ids") -> DataFrame:
+    """encoded with the column `named` replaced by the column `out`: the text of the ids; null for null ids."""
+    names = [n for n in encoded.columns if n not in (named, out)]
     shared = _Shared(encoded.sparkSession, model_path, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -734,14 +749,11 @@ def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None,
                 texts = [t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*names, out])
 
-    e = encoded.select(encoded.ids.alias("__ids"), *[encoded[n] for n in names])
+    e = encoded.select(encoded[named].alias("__of"), *[encoded[n] for n in names])
     return e.mapInArrow(run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op1_max_plus_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = encode(docs).select(
-        "doc_id", F.col("ids").alias("pieces"), "ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
-    )
-    back = decode(got, out="decoded")
-    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "text_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    got = encode(docs, back=True)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "decoded_sha256")
