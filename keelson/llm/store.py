@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def keep(df: DataFrame, name: str = "part") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what one round frees may hold what the next one frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def parts(spark: SparkSession) -> int:

@@ -68,23 +68,19 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What a row of the settling shuffle says: the least document of its batch; the same, and another of the batch has it too; a document already settled.
 ALONE, SHARED, SETTLED = 0, 1, 2
-_ROW = "k long, h long, doc long, kind int"
+_ROW = "h long, doc long, kind int"
 
 
 def _settle_local(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     h, doc = _distinct(h, doc)
     kind = np.zeros(len(h), np.int32)
-    k = h.copy()
     if len(h):
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         size = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))
         kind[head] = np.where(size > 1, SHARED, ALONE)
         kind[~head] = SETTLED
-        k[~head] = h[~head] * np.uint64(0x9E3779B97F4A7C15) ^ doc[~head].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(kind)], ["k", "h", "doc", "kind"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(kind)], ["h", "doc", "kind"])
 
 
 def _settle(least_too: bool) -> Callable:
@@ -93,9 +89,9 @@ def _settle(least_too: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, docs, kinds = [], [], []
         for b in batches:
-            kind = b.column(3).to_numpy()
+            kind = b.column(2).to_numpy()
             out = kind == SETTLED
-            h, doc = b.column(1).to_numpy(), b.column(2).to_numpy()
+            h, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(h[out])], ["doc", "h"])
             hs.append(h[~out])
@@ -125,7 +121,9 @@ def _settle(least_too: bool) -> Callable:
 
 
 def _by_hash(rows: DataFrame, n: int, least_too: bool) -> DataFrame:
-    told = rows.repartition(n, "k").mapInArrow(_settle(least_too), "doc long, h long")
+    # settled rows only pass through, so they are spread evenly
+    place = F.when(F.col("kind") == SETTLED, F.xxhash64("h", "doc")).otherwise(F.col("h"))
+    told = rows.repartition(n, place).mapInArrow(_settle(least_too), "doc long, h long")
     return told.groupBy("doc").agg(F.collect_set("h").alias("hs"))
 
 
