@@ -96,9 +96,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     a = keep(allot(docs).filter("taken > 0"), "allotted")
-    a = a.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("x").alias("_x"), "size", F.explode(F.array(
-        F.struct(F.col("position").alias("at"), F.col("first_words").alias("n")), F.struct(F.col("again_position").alias("at"), F.col("again_words").alias("n")),
-    )).alias("_c"), F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("position")).alias("_r")).filter("_c.n > 0")
+    # the place among equal rows comes first: after the explode it would count copies
+    a = a.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "x").orderBy(F.col("position").asc_nulls_last())))
+    copies = F.array(F.struct(F.col("position").alias("at"), F.col("first_words").alias("n")), F.struct(F.col("again_position").alias("at"), F.col("again_words").alias("n")))
+    a = a.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("x").alias("_x"), "size", F.explode(copies).alias("_c"), "_r").filter("_c.n > 0")
     row = F.struct(*[docs[n] for n in names]).alias("_row")
     d = docs.select(row, F.coalesce(docs.doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(docs.text).alias("hash"))
     d = d.withColumn("nth", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id")))
