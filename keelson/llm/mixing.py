@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .kernel import WORD
 from .ordering import ranged, running
-from .store import keep
+from .store import keep, release
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, MAX_EPOCHS = 1.5, 2
@@ -96,6 +96,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     a = keep(allot(docs).filter("taken > 0"), "allotted")
+    release(docs.sparkSession)
     # the place among equal rows comes first: after the explode it would count copies
     a = a.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "x").orderBy(F.col("position").asc_nulls_last())))
     copies = F.array(F.struct(F.col("position").alias("at"), F.col("first_words").alias("n")), F.struct(F.col("again_position").alias("at"), F.col("again_words").alias("n")))
