@@ -103,7 +103,12 @@ def gray_rank(g: np.ndarray) -> np.ndarray:
 
 
 def tree_pairs(fp: np.ndarray, first: np.ndarray, near: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places within `near` bits inside each group; fp is in Gray order within groups, first has their bounds."""
+    """All pairs of places within `near` bits inside each group; fp is in Gray order within groups, first has their bounds.
+
+    fp has one 64-bit word a row, or a row of several; differences add up word
+    by word, and a pair of groups is dropped as soon as they pass the limit.
+    """
+    fp = fp.reshape(len(fp), -1)
     ands, ors, starts = [fp], [fp], [first]
     while (np.diff(starts[-1]) > 1).any():
         size = np.diff(starts[-1])
@@ -111,8 +116,8 @@ def tree_pairs(fp: np.ndarray, first: np.ndarray, near: int = NEAR_BITS) -> tupl
         f = np.concatenate([[0], np.cumsum(up)])
         group = np.repeat(np.arange(len(up)), up)
         at = starts[-1][:-1][group] + (np.arange(f[-1]) - f[:-1][group]) * FAN
-        ands.append(np.bitwise_and.reduceat(ands[-1], at))
-        ors.append(np.bitwise_or.reduceat(ors[-1], at))
+        ands.append(np.bitwise_and.reduceat(ands[-1], at, axis=0))
+        ors.append(np.bitwise_or.reduceat(ors[-1], at, axis=0))
         starts.append(f)
     top = len(starts) - 1
     a = b = starts[top][:-1].copy()
@@ -128,22 +133,27 @@ def tree_pairs(fp: np.ndarray, first: np.ndarray, near: int = NEAR_BITS) -> tupl
             for j in range(FAN):
                 ok = (la + i < size) & (lb + j < size) & ((a != b) | (i <= j))
                 x, y, g = (lo + la + i)[ok], (lo + lb + j)[ok], group[ok]
-                gap = np.bitwise_count((same_and[x] ^ same_and[y]) & agree[x] & agree[y])
-                ok = gap <= near
-                nxt.append((x[ok], y[ok], g[ok]))
+                gap = np.zeros(len(x), np.int32)
+                for c in range(fp.shape[1]):
+                    gap = gap + np.bitwise_count((same_and[x, c] ^ same_and[y, c]) & agree[x, c] & agree[y, c])
+                    ok = gap <= near
+                    x, y, g, gap = x[ok], y[ok], g[ok], gap[ok]
+                nxt.append((x, y, g))
         a, b, group = (np.concatenate(z) for z in zip(*nxt, strict=True))
     ok = a != b
     return a[ok], b[ok]
 
 
-def _search(near: int):
+def search(near: int, words: int = 1):
+    """Over rows (k, node, fp, ...): links that join all pairs of nodes near each other under one k."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        k, node, fp = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((gray_rank(fp), k))
+        k, node, *cols = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2 + words))
+        fp = np.stack(cols, axis=1).view(np.uint64)
+        order = np.lexsort((gray_rank(fp[:, 0]), k))
         k, node, fp = k[order], node[order], fp[order]
         bound = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
         size = np.diff(bound)
@@ -209,7 +219,7 @@ def near_links(nodes: DataFrame, near: int = NEAR_BITS) -> DataFrame:
     for d in done[1:]:
         every = every.unionAll(d)
     n = max(parts(spark), total * (near + 1) // TASK_ROWS + 1)
-    return every.select("k", "node", "fp").repartition(n, "k").mapInArrow(_search(near), "a long, b long")
+    return every.select("k", "node", "fp").repartition(n, "k").mapInArrow(search(near), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, near: int = NEAR_BITS) -> DataFrame:
@@ -231,12 +241,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(cls, fps.fp == cls._fp, "left").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, width: int = 3, near: int = NEAR_BITS) -> DataFrame:
-    """docs with only the least doc_id of each component; rows without an id stay."""
-    gone = near_duplicates(docs, width=width, near=near).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(keep(gone.distinct(), "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keelson.llm import fingerprint, language, mixing, pieces, quality, rules, simhash, substrings, urls, warc
+from keelson.llm import copies, fingerprint, language, mixing, pieces, quality, rules, simhash, substrings, urls, warc
 from keelson.llm.components import components
 from keelson.llm.kernel import buffers
 
@@ -82,8 +82,6 @@ def test_simhash(spark, docs, odd, none):
         assert {(r.doc_id, r.fp % 2**64, r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps}
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.near_duplicates(odd).filter("doc_id IS NULL").count() == 1
-    kept = simhash.keep_representatives(odd)
-    assert kept.columns == odd.columns and kept.filter("doc_id IN (6, 1, 2)").count() == 0 and kept.filter("doc_id IS NULL").count() == 1
 
 
 def test_gray_index_finds_all_pairs_and_refines_full_nodes(spark, monkeypatch):
@@ -102,6 +100,41 @@ def test_gray_index_finds_all_pairs_and_refines_full_nodes(spark, monkeypatch):
     assert {i: star.get(i, i) for i in range(len(fp))} == least_linked(range(len(fp)), dict(enumerate(map(int, fp))))
 
 
+def sketch_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return copies.sketch_rows(raw, np.array([0, len(raw)]))[0]
+
+
+def test_near_copies_edge_cases(spark, odd, none):
+    kept = copies.keep_representatives(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id IN (6, 1, 2)").count() == 0 and kept.filter("doc_id IS NULL").count() == 1
+    assert copies.near_copies(none).count() == 0
+    assert (sketch_of("One  two\nthree") == sketch_of("one two three")).all() and (sketch_of(" \n") == 0).all()
+    assert (sketch_of("a b c d e") != sketch_of("a b c d f")).any()
+
+
+@pytest.mark.parametrize("limit", [1024, 8])
+def test_near_copies_join_similar_texts_only(spark, monkeypatch, limit):
+    """Every pair of five-word similarity 0.85 or more is joined, no unrelated ones, also where nodes are relieved."""
+    monkeypatch.setattr(copies, "NODE_ROWS", limit)
+    rng = random.Random(5)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(15 if g == 0 else 3):
+            one = base[:]
+            for _ in range(rng.randrange(4)):
+                one[rng.randrange(300)] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(one))
+    got = {r.doc_id: r.component_id for r in copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            like = len(a & b) / len(a | b)
+            assert like < 0.85 or got[i] == got[j]
+            assert like > 0 or got[i] != got[j]
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (60, 55)], "a long, b long")
     assert {r.a: r.root for r in components(e).collect()} == {i: 0 for i in range(1, 41)} | {60: 55}
