@@ -135,6 +135,53 @@ def test_near_copies_join_similar_texts_only(spark, monkeypatch, limit):
             assert like > 0 or got[i] != got[j]
 
 
+def shingles(t):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+
+def least_similar(rows):
+    """Least id over links of texts at a similarity of 0.8 or more, by brute force."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if (a or b) and 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+                continue
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def components_of(spark, rows):
+    got = copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: r.component_id for r in got}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_near_copies_of_a_full_node_are_joined_over_those_linked_to_its_lead(spark, monkeypatch, block):
+    """More texts than a node holds drift away from one another in small steps, so most are near others but not near the lead."""
+    monkeypatch.setattr(copies, "NODE_ROWS", 8)
+    monkeypatch.setattr(copies, "BLOCK", block, raising=False)
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(40):
+            one = base[:]
+            for _ in range(rng.randrange(1, 8)):
+                one[rng.randrange(120)] = f"v{rng.randrange(5000)}"
+            rows.append((rng.randrange(10**6), " ".join(one)))
+    assert components_of(spark, rows) == least_similar(rows)
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (60, 55)], "a long, b long")
     assert {r.a: r.root for r in components(e).collect()} == {i: 0 for i in range(1, 41)} | {60: 55}
