@@ -182,6 +182,20 @@ def test_near_copies_of_a_full_node_are_joined_over_those_linked_to_its_lead(spa
     assert components_of(spark, rows) == least_similar(rows)
 
 
+def test_isolated_pairs_on_both_sides_of_the_threshold(spark):
+    """Pairs alone in their groups, each just at 0.8, just below it, or somewhere between 0.7 and 0.9."""
+    rows, sides = [], set()
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(94)]
+        a, b = base[:], base[:]
+        # of 90 shingles each, a block of n + 4 changed words at the end leaves 90 - n - 4 in both
+        n = 6 if g < 50 else 7 if g < 100 else g % 12 + 2
+        b[94 - n - 4 :] = [f"g{g}v{i}" for i in range(n + 4)]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+        sides.add(5 * len(shingles(rows[-1][1]) & shingles(rows[-2][1])) >= 4 * len(shingles(rows[-1][1]) | shingles(rows[-2][1])))
+    assert sides == {True, False} and components_of(spark, rows) == least_similar(rows)
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (60, 55)], "a long, b long")
     assert {r.a: r.root for r in components(e).collect()} == {i: 0 for i in range(1, 41)} | {60: 55}
