@@ -196,6 +196,19 @@ def test_isolated_pairs_on_both_sides_of_the_threshold(spark):
     assert sides == {True, False} and components_of(spark, rows) == least_similar(rows)
 
 
+def test_texts_that_share_only_a_repeated_line_or_less_than_the_threshold_stay(spark):
+    line = "the same five words again and again "
+    rows = [(i, line * 60 + " ".join(f"d{i}x{j}" for j in range(40))) for i in range(12)]
+    rng = random.Random(2)
+    for g in range(40):
+        base = [f"h{g}w{i}" for i in range(300)]
+        edited = base[:]
+        for at in range(0, 300, 28 - g % 5):
+            edited[at] = f"h{g}v{rng.randrange(10**6)}"
+        rows += [(100 + 2 * g, " ".join(base)), (101 + 2 * g, " ".join(edited))]
+    assert components_of(spark, rows) == least_similar(rows) == {i: i for i, _ in rows}
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (60, 55)], "a long, b long")
     assert {r.a: r.root for r in components(e).collect()} == {i: 0 for i in range(1, 41)} | {60: 55}
