@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keelson.llm import copies, fingerprint, language, mixing, pieces, quality, rules, simhash, substrings, urls, warc
 from keelson.llm.components import components
 from keelson.llm.kernel import buffers
@@ -209,6 +210,42 @@ def test_texts_that_share_only_a_repeated_line_or_less_than_the_threshold_stay(s
     assert components_of(spark, rows) == least_similar(rows) == {i: i for i, _ in rows}
 
 
+def kept_ids(rows):
+    return sorted(i for i, root in least_similar(rows).items() if i == root)
+
+
+def test_near_copy_stage_keeps_what_brute_force_keeps(spark):
+    """One group of more texts than a node holds, not all near its lead, and pairs on both sides of 0.8."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(copies.NODE_ROWS + 60):
+        one = base[:]
+        for _ in range(rng.randrange(1, 4)):
+            one[rng.randrange(80)] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(one)))
+    for g in range(20):
+        one = [f"g{g}w{i}" for i in range(94)]
+        rows += [(1000 + 2 * g, " ".join(one)), (1001 + 2 * g, " ".join(one[: 88 - g % 4] + [f"g{g}v{i}" for i in range(6 + g % 4)]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, table, SF).collect()) == kept_ids(rows)
+
+
+def test_run_keeps_what_brute_force_keeps(spark, monkeypatch):
+    given = {}
+
+    def seen(name, stage):
+        def run(spark, docs, sf_dir):
+            given[name] = docs
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [seen(*x) for x in corpus_pipeline.STAGES[:3]])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    before, after = ([(r.doc_id, r.text) for r in given[n].collect()] for n in ("simhash_dedup", "substring_dedup"))
+    assert sorted(i for i, _ in after) == kept_ids(before) and len(after) < len(before)
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50), (60, 55)], "a long, b long")
     assert {r.a: r.root for r in components(e).collect()} == {i: 0 for i in range(1, 41)} | {60: 55}
