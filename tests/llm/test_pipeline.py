@@ -16,3 +16,21 @@ def test_stages(spark, tmp_path):
         assert docs.count() > 0 and docs.columns == (names if k < 4 else [*names, "ids"])
     back = pieces.decode(docs.withColumnRenamed("text", "was"))
     assert back.filter("NOT (was <=> text)").count() == 0
+
+
+def test_each_stage_reads_what_the_one_before_wrote(spark, monkeypatch):
+    given = []
+
+    def seen(name, stage):
+        def run(spark, docs, sf_dir):
+            given.append((name, docs.inputFiles()))
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [seen(*x) for x in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, SF)
+    names = [name for name, _ in given]
+    for was, (_, files) in zip(names, given[1:], strict=False):
+        assert files and all(f"/{was}-" in x for x in files)
+    assert all(f"/{names[-1]}-" in x for x in out.inputFiles()) and out.count() > 0
