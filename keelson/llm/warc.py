@@ -33,12 +33,12 @@ def heads(pages: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(revisit, original): pages whose payload of LEAST_BYTES or more a lesser page_id has.  Written."""
+    """(revisit, digest, original): payloads of LEAST_BYTES or more of pages that a lesser page_id has too.  Written."""
     h = keep(heads(pages).filter((F.col("n") >= LEAST_BYTES) & F.col("page_id").isNotNull()), "heads")
     first = h.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).filter("original < last")
     first = keep(first.select(F.col("digest").alias("_d"), "original"), "originals")
     got = h.join(first, F.col("digest") == F.col("_d")).filter("page_id > original")
-    return keep(got.select(F.col("page_id").alias("revisit"), "original").distinct(), "revisits")
+    return keep(got.select(F.col("page_id").alias("revisit"), "digest", "original").distinct(), "revisits")
 
 
 def _field(name: str, value: F.Column) -> F.Column:
@@ -49,13 +49,14 @@ def write(pages: DataFrame, path: str) -> None:
     """An archive of one record per row of pages (page_id, url, html), by the rules of revisits().
 
     Line breaks in a url are percent-encoded.  Rows without an id are always
-    responses; rows that repeat an id are judged alike.
+    responses; rows that repeat an id are judged each by its own payload.
     """
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(parts(pages.sparkSession), size // FILE_BYTES + 1)
     again = revisits(pages)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.join(again, F.col("page_id") == F.col("revisit"), "left")
+    p = p.withColumn("_digest", F.sha2(F.encode("html", "UTF-8"), 256))
+    p = p.join(again, (F.col("page_id") == F.col("revisit")) & (F.col("_digest") == F.col("digest")), "left")
     is_new = F.col("original").isNull()
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
@@ -67,7 +68,7 @@ def write(pages: DataFrame, path: str) -> None:
         _field("WARC-Record-ID", ident(F.coalesce(F.col("page_id").cast("string"), F.lit("none")))),
         _field("WARC-Date", F.lit(DATE)),
         _field("WARC-Target-URI", url),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(F.encode("html", "UTF-8"), 256))),
+        _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
         _field("X-Payload-Length", F.octet_length("html")),
         F.when(is_new, F.lit("")).otherwise(
             F.concat(_field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _field("WARC-Refers-To", ident(F.col("original"))))

@@ -467,3 +467,23 @@ def test_chunks_of_text_without_spaces():
             else:  # ties between equal weights may fall differently
                 weigh = lambda x: sum(m.score[i] if m.type[i] == 1 else m.lowest for i in x)
                 assert ids == whole or abs(weigh(ids) - weigh(whole)) < 1e-3
+
+
+def test_rows_that_repeat_a_page_are_judged_by_their_own_payload(spark, tmp_path):
+    a, b, c = "a" * 200, "b" * 200, "c" * 50
+    rows = [(1, a), (2, a), (2, b), (2, c), (3, b), (4, c), (1, b), (None, a)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    warc.write(pages, (tmp_path / "repeats").as_uri())
+    first = {a: 1, b: 1}
+    want = [(i, hashlib.sha256(h.encode()).hexdigest(), first[h] if i and h in first and i > first[h] else None) for i, h in rows]
+    got = [(r.page_id, r.payload_digest, r.refers_to) for r in warc.read(spark, (tmp_path / "repeats").as_uri()).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_page_that_repeats_a_copied_one_keeps_its_own_payload(spark, tmp_path):
+    a, b = "a" * 200, "b" * 200
+    pages = spark.createDataFrame([(1, "u", a), (2, "u", a), (2, "u", b)], "page_id long, url string, html string")
+    warc.write(pages, (tmp_path / "own").as_uri())
+    got = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in warc.read(spark, (tmp_path / "own").as_uri()).collect()}
+    da, db = (hashlib.sha256(h.encode()).hexdigest() for h in (a, b))
+    assert got == {(1, da): ("response", None), (2, da): ("revisit", 1), (2, db): ("response", None)}
