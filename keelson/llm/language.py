@@ -17,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import buffers, slices
 
-#: Bounds of the sample that the automata are built from: rows drawn and bytes used for each language,
-#: the longest text drawn, and the languages, most frequent first.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT, MAX_LANGS = 150, 32_768, 16_384, 64
+#: Bounds of the sample that the automata are built from: rows drawn and bytes used for each language, and the longest text drawn.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 150, 32_768, 16_384
+#: All languages are learned; past this many the rows (LEAST_ROWS at least) and bytes of each shrink.
+FULL_LANGS, LEAST_ROWS = 64, 20
 SEGMENT = 256
 #: A text that breaks off more phrases a byte than this in its best language is in none of them.
 MAX_RATE = 0.5
@@ -145,27 +146,45 @@ def _held(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Automata of the languages of docs (doc_id, text, lang), from a bounded sample.
+def sample(docs: DataFrame) -> list:
+    """Rows (lang, text) for every language of docs (doc_id, text, lang), a bounded number each, by ascending id hash.
 
-    Only rows with a language, an id and a text take part.  For each language
-    about SAMPLE_ROWS rows with the least id hashes are drawn, and whole texts
-    of them used up to SAMPLE_BYTES.
+    Only rows with a language, an id and a text take part.  A language's texts
+    are its ones of at most SAMPLE_TEXT bytes or, if it has none, beginnings of
+    longer ones.
     """
-    rows = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text").between(1, SAMPLE_TEXT))
-    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not n:
-        return Model({})
-    grain = 1 << 30
-    limit = {k: math.ceil(grain * min(1.0, 2 * SAMPLE_ROWS / v)) for k, v in n.items()}
+    rows = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND octet_length(text) > 0")
+    short = F.octet_length("text") <= SAMPLE_TEXT
+    n = {r.lang: (r.short, r.all) for r in rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.count("*").alias("all")).collect()}
+    share = max(1.0, len(n) / FULL_LANGS)
+    most, size = max(LEAST_ROWS, int(SAMPLE_ROWS / share)), int(SAMPLE_TEXT / share)
+    grain, got, left = 1 << 30, [], dict(n)
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(grain))
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in limit.items() for x in kv]), F.col("lang"))
-    drawn = rows.withColumn("_h", hash_).filter(F.col("_h") < share).select("lang", "_h", "text")
-    got = drawn.orderBy("_h", "lang", "text").limit(4 * SAMPLE_ROWS * len(n)).collect()
+    # the second draw is for languages whose ids happen to hash past the first one's bound
+    for draw in (2 * most, math.inf):
+        if not left:
+            break
+        bound = [(k, math.ceil(grain * min(1.0, draw / (a or b))), a > 0) for k, (a, b) in left.items()]
+        bound = docs.sparkSession.createDataFrame(bound, "_lang string, _bound long, _short boolean")
+        drawn = rows.join(F.broadcast(bound), (F.col("lang") == F.col("_lang")) & (hash_ < F.col("_bound")) & (short | ~F.col("_short")))
+        # a character has at most four bytes
+        text = F.col("text") if share == 1 else F.substring("text", 1, size)
+        text = F.when(short, text).otherwise(F.substring("text", 1, min(size, SAMPLE_TEXT // 4)))
+        drawn = drawn.select("lang", hash_.alias("_h"), text.alias("text"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+        got += drawn.withColumn("_n", place).filter(F.col("_n") <= 4 * most).orderBy("_h", "lang", "text").select("lang", "text").collect()
+        left = {k: v for k, v in left.items() if k not in {r.lang for r in got}}
+    return got
+
+
+def fit(docs: DataFrame) -> Model:
+    """Automata of all languages of docs (doc_id, text, lang), each from texts of its sample() up to SAMPLE_BYTES, or its part of FULL_LANGS times that."""
+    got = sample(docs)
+    most = SAMPLE_BYTES * FULL_LANGS // max(FULL_LANGS, len({r.lang for r in got}))
     samples: dict[str, bytes] = {}
     for r in got:
         b = r.text.encode()
-        if len(samples.get(r.lang, b"")) + len(b) <= SAMPLE_BYTES or r.lang not in samples:
+        if len(samples.get(r.lang, b"")) + len(b) <= most or r.lang not in samples:
             samples[r.lang] = samples.get(r.lang, b"") + b + b"\n"
     return Model(samples)
 

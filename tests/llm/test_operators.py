@@ -312,6 +312,19 @@ def test_language(docs, odd, none):
     assert kept.columns == docs.columns and kept.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
 
 
+def test_every_labelled_language_is_learned(spark):
+    """More languages than get a full sample, the rarest with long texts only."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(70):
+        voc = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+        texts = [" ".join(rng.choice(voc) for _ in range(30 if g < 69 else 4000)) for _ in range(6 if g < 69 else 2)]
+        rows += [(100 * g + i, t, f"l{g:02}") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(table, table).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_cross_parsing_counts_phrases():
     model = language.Model({"x": b"abcabd", "y": b"zz"})
     data, text = "abcabd", "abdabczq"
