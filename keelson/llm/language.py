@@ -27,8 +27,10 @@ SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 150, 32_768, 16_384
 #: All languages are learned; past this many the rows (LEAST_ROWS at least) and bytes of each shrink.
 FULL_LANGS, LEAST_ROWS = 64, 20
 SEGMENT = 256
-#: A text that breaks off more phrases a byte than this in its best language is in none of them.
-MAX_RATE = 0.5
+#: A text that breaks off MARGIN times more phrases a byte in its best language than held-out text of the
+#: learned ones does (its QUANTILE), and SLACK phrases besides, is in none of them; SLACK is for a name or
+#: key in a short text (one of 20 letters costs about 5).  MAX_RATE holds where there is no held-out text.
+QUANTILE, MARGIN, SLACK, MAX_RATE = 0.99, 1.5, 6, 0.5
 LETTER = r"\p{L}"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -216,6 +218,17 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").filter(~_held())
 
 
+def most_rate(model: Model, held: DataFrame) -> float:
+    """Phrases a byte up to which a text is in a learned language, by held-out rows (doc_id, text, lang)."""
+    texts = [r.text for r in sample(held.filter(F.col("text").rlike(LETTER))) if r.lang in model.langs]
+    if not texts:
+        return MAX_RATE
+    rates = []
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", 1 << 20):
+        rates.append(model.predict(*buffers(part.column(0)), np.ones(part.num_rows, bool))[2])
+    return MARGIN * float(np.quantile(np.concatenate(rates), QUANTILE))
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows that are in no learned language: no letter, or too many phrases a byte.
 
@@ -223,14 +236,17 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     names = docs.columns
-    model = spark.sparkContext.broadcast(fit(training_rows(docs)))
+    fitted = fit(training_rows(docs))
+    most = most_rate(fitted, docs.select("doc_id", "text", "lang").filter(_held()))
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", 2 << 20):
                 letters = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                lang, _, rate = model.value.predict(*buffers(part.column(0)), letters)
-                ok = np.array([x != "und" for x in lang], bool) & (rate <= MAX_RATE)
+                raw, offs = buffers(part.column(0))
+                lang, _, rate = model.value.predict(raw, offs, letters)
+                ok = np.array([x != "und" for x in lang], bool) & (rate <= most + SLACK / np.maximum(np.diff(offs), 1))
                 yield pa.RecordBatch.from_arrays(part.columns[2:], names).filter(pa.array(ok))
 
     ok = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__ok")

@@ -325,6 +325,14 @@ def test_every_labelled_language_is_learned(spark):
     assert got == {i: lang for i, _, lang in rows}
 
 
+def test_random_letters_are_in_no_language(spark, docs):
+    rng = random.Random(1)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.randint(60, 600))) for _ in range(200)]
+    junk = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    kept = language.keep_identified(docs.unionByName(junk, allowMissingColumns=True))
+    assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_cross_parsing_counts_phrases():
     model = language.Model({"x": b"abcabd", "y": b"zz"})
     data, text = "abcabd", "abdabczq"
