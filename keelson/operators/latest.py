@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .log import replica_get
+
 
 def latest(rows: DataFrame, key: str = "k", value: str = "v", seq: str = "seq") -> DataFrame:
     """The value of each key's greatest seq; combined before the shuffle, so a hot key is no hot task."""
@@ -45,12 +47,22 @@ def without_deleted(log: DataFrame, key: str = "k", value: str = "v", seq: str =
     return last.filter(F.col(f"_x.{mode}") == 0).select(key, F.col(f"_x.{value}").alias(value))
 
 
-def commands(cmds: DataFrame, rows: DataFrame) -> DataFrame:
-    """Answers to a batch of commands (seq, op, k, v): a get sees the table and the puts of the batch before it."""
+def commands(cmds: DataFrame, rows: DataFrame, applied: DataFrame | None = None) -> DataFrame:
+    """Answers to a batch of commands (seq, op, k, v): a get sees the table and the puts of the batch before it.
+
+    An optget of commands that have a column idx reads from that node, and so
+    sees the rows that the node has applied (node, applied_idx), and no puts of
+    the batch.
+    """
     puts = cmds.filter("op = 'put'").select("k", "v", F.col("seq").cast("long").alias("at"))
     base = rows.groupBy("k").agg(F.max_by("v", "seq").alias("v")).withColumn("at", F.lit(-1).cast("long"))
-    reads = cmds.filter("op IN ('get', 'sget', 'optget')").select("k", F.lit(None).cast("string").alias("v"), F.col("seq").cast("long").alias("at"))
+    ops = ["get", "sget"] if applied is not None else ["get", "sget", "optget"]
+    reads = cmds.filter(F.col("op").isin(ops)).select("k", F.lit(None).cast("string").alias("v"), F.col("seq").cast("long").alias("at"))
     every = puts.withColumn("kind", F.lit(0)).unionByName(base.withColumn("kind", F.lit(0))).unionByName(reads.withColumn("kind", F.lit(1)))
     w = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     seen = every.withColumn("got", F.last(F.when(F.col("kind") == 0, F.col("v")), ignorenulls=True).over(w))
-    return seen.filter("kind = 1").select(F.col("at").alias("seq"), "k", F.col("got").alias("v"), F.col("got").isNotNull().alias("found"))
+    out = seen.filter("kind = 1").select(F.col("at").alias("seq"), "k", F.col("got").alias("v"), F.col("got").isNotNull().alias("found"))
+    if applied is None:
+        return out
+    asked = cmds.filter("op = 'optget'").select(F.col("seq").cast("long").alias("seq"), "k", F.col("idx").alias("node"))
+    return out.unionByName(replica_get(asked, rows, applied, idx="seq").drop("node"))

@@ -17,5 +17,9 @@ def parse(text: F.Column) -> F.Column:
     return F.struct(peers.alias("addresses"), one(n).alias("local"))
 
 
-def read(spark, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(parse(F.col("value")).alias("c")).select("c.*")
+def read(spark, path: str) -> DataFrame | None:
+    """The configuration of a file, in one row (addresses, local); None where there is no such file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.text(path, wholetext=True).select(parse(F.col("value")).alias("c")).select("c.*")

@@ -1,12 +1,14 @@
 """Segments as sorted Parquet with Bloom filters on the key, under a versioned manifest.
 
 Layout of base: segments/<id>/ and manifest/<version>/; the current version is
-the greatest whose directory Spark has marked complete.  One writer at a time.
+the greatest whose directory Spark has marked complete.  One writer at a time;
+of two that commit the same version one fails.  A deleted key is a row without
+a value, which hides older ones until a compaction has merged all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import byte_size
@@ -14,42 +16,77 @@ from ..operators import segments
 from ..schemas import MANIFEST, SEGMENT
 
 
+class Versions:
+    """A folder of numbered tables, the greatest complete one being current."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def path(self, *name):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *map(str, name)]))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def numbers(self) -> list[int]:
+        """From the greatest."""
+        fs, p = self.path()
+        return sorted((int(s.getPath().getName()) for s in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+
+    def current(self) -> int:
+        for v in self.numbers():
+            fs, p = self.path(v, "_SUCCESS")
+            if fs.exists(p):
+                return v
+        return 0
+
+    def read(self, schema) -> list:
+        v = self.current()
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{v}").collect() if v else []
+
+    def write(self, df: DataFrame, version: int) -> None:
+        """Fails if that version is there; what a writer that died has left of it goes first."""
+        fs, p = self.path(version)
+        if fs.exists(p) and not fs.exists(self.path(version, "_SUCCESS")[1]):
+            fs.delete(p, True)
+        df.coalesce(1).write.mode("errorifexists").parquet(f"{self.base}/{version}")
+
+    def trim(self) -> list[int]:
+        """Delete all versions before the current one; their numbers."""
+        gone = [v for v in self.numbers() if v < self.current()]
+        for v in gone:
+            fs, p = self.path(v)
+            fs.delete(p, True)
+        return gone
+
+
 class Store:
-    """Versioned key-value table: put_batch, get, multi_get, scan, flush by batch, compact, vacuum."""
+    """Versioned key-value table: put_batch, delete_batch, get, multi_get, scan, compact, vacuum."""
 
     def __init__(self, spark: SparkSession, base: str, thresholds=segments.THRESHOLDS, rows_per_file: int = 5_000_000):
         self.spark, self.base, self.thresholds, self.rows_per_file = spark, base.rstrip("/"), thresholds, rows_per_file
+        self.versions = Versions(spark, f"{self.base}/manifest")
 
     # -- files ---------------------------------------------------------------
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def version(self) -> int:
-        fs, p = self._fs(f"{self.base}/manifest")
-        if not fs.exists(p):
-            return 0
-        done = [int(s.getPath().getName()) for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=0)
+        return self.versions.current()
 
     def manifest(self) -> list:
         """Rows of the current manifest; one per segment, so small beside the data."""
-        v = self.version()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.base}/manifest/{v}").collect() if v else []
+        return self.versions.read(MANIFEST)
 
     def _commit(self, rows: list[tuple]) -> None:
         v = self.version() + 1
-        df = self.spark.createDataFrame([(v, *r) for r in rows], MANIFEST)
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/manifest/{v}")
+        self.versions.write(self.spark.createDataFrame([(v, *r) for r in rows], MANIFEST), v)
 
     def _write(self, rows: DataFrame, sst_id: int) -> tuple:
-        """A segment sorted by key; (first_key, last_key, n, bytes)."""
-        path = f"{self.base}/segments/{sst_id}"
-        w = rows.select("k", "v", "seq").repartitionByRange("k").sortWithinPartitions("k").write.mode("overwrite")
-        w.option("parquet.bloom.filter.enabled#k", "true").option("maxRecordsPerFile", self.rows_per_file).parquet(path)
-        r = self._read([sst_id]).agg(F.min("k"), F.max("k"), F.count("*"), F.sum(byte_size("k", "v"))).first()
-        return tuple(r)
+        """A segment sorted by key; (first_key, last_key, n, bytes), counted as it is written."""
+        path, seen = f"{self.base}/segments/{sst_id}", Observation()
+        w = rows.select("k", "v", "seq").repartitionByRange("k").sortWithinPartitions("k")
+        w = w.observe(seen, F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"), F.sum(byte_size("k", "v")).alias("bytes"))
+        w = w.write.mode("overwrite").option("parquet.bloom.filter.enabled#k", "true").option("maxRecordsPerFile", self.rows_per_file)
+        w.parquet(path)
+        r = seen.get
+        return r["first"], r["last"], r["n"], r["bytes"] or 0
 
     def _read(self, ids: list[int]) -> DataFrame:
         if not ids:
@@ -59,14 +96,22 @@ class Store:
     # -- writes --------------------------------------------------------------
 
     def put_batch(self, rows: DataFrame) -> int:
-        """Flush rows (k, v, seq), latest of each key, as a new newest segment of level 0; its id."""
-        rows = rows.filter("k IS NOT NULL AND v IS NOT NULL").groupBy("k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))
+        """Flush rows (k, v, seq), latest of each key, as a new newest segment of level 0; its id. Rows without key or value are left out."""
+        return self.flush(rows.filter("v IS NOT NULL"))
+
+    def delete_batch(self, rows: DataFrame) -> int:
+        """Flush rows (k, seq) that delete their keys; a key that isn't there is no error, and one put later, by seq, is there again."""
+        return self.flush(rows.select("k", F.lit(None).cast("string").alias("v"), "seq"))
+
+    def flush(self, rows: DataFrame) -> int:
+        """put_batch and delete_batch in one: a row without a value deletes."""
+        rows = rows.filter("k IS NOT NULL").groupBy("k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))
         have = self.manifest()
         sst = max((r.sst_id for r in have), default=0) + 1
-        first, last, n, size = self._write(rows, sst)
+        new = self._write(rows, sst)
         pos = max((r.pos for r in have if r.level == 0), default=0) + 1
         old = [(r.level, r.pos, r.sst_id, r.first_key, r.last_key, r.n, r.bytes) for r in have]
-        self._commit([*old, (0, pos, sst, first, last, n, size or 0)])
+        self._commit([*old, (0, pos, sst, *new)])
         return sst
 
     def compact(self) -> int:
@@ -78,34 +123,44 @@ class Store:
             if sum(r.bytes for r in mine) <= limit:
                 break
             lo, hi = min(r.first_key for r in mine), max(r.last_key for r in mine)
-            met = [r for r in have if r.level == level + 1 and r.last_key >= lo and r.first_key <= hi]
+            meets = lambda r, lo=lo, hi=hi: r.n and r.last_key >= lo and r.first_key <= hi
+            met = [r for r in have if r.level == level + 1 and meets(r)]
             gone = {r.sst_id for r in [*mine, *met]}
             sst = max(r.sst_id for r in have) + 1
             merged = self._read(sorted(gone)).groupBy("k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))
+            if not any(r.level > level + 1 and meets(r) for r in have):
+                merged = merged.filter("v IS NOT NULL")  # nothing older is left to hide
             first, last, n, size = self._write(merged, sst)
             rest = [r for r in have if r.sst_id not in gone and not (r.level == level and not r.n)]
-            below = sorted([(r.first_key, r.last_key, r.sst_id, r.n, r.bytes) for r in rest if r.level == level + 1] + [(first, last, sst, n, size)])
+            below = [(r.first_key, r.last_key, r.sst_id, r.n, r.bytes) for r in rest if r.level == level + 1]
+            below = sorted([*below, *([(first, last, sst, n, size)] if n else [])])
             keep = [(r.level, r.pos, r.sst_id, r.first_key, r.last_key, r.n, r.bytes) for r in rest if r.level != level + 1]
             self._commit(keep + [(level + 1, i + 1, s, f, la, c, b) for i, (f, la, s, c, b) in enumerate(below)])
             done += 1
         return done
 
     def vacuum(self) -> list[int]:
-        """Delete segments that the current manifest doesn't name; their ids."""
+        """Delete segments that the current manifest doesn't name, and older manifests; the segments' ids."""
         live = {r.sst_id for r in self.manifest()}
-        fs, p = self._fs(f"{self.base}/segments")
-        gone = [s.getPath() for s in fs.listStatus(p) if int(s.getPath().getName()) not in live] if fs.exists(p) else []
-        for x in gone:
-            fs.delete(x, True)
-        return sorted(int(x.getName()) for x in gone)
+        every = Versions(self.spark, f"{self.base}/segments")
+        gone = sorted(i for i in every.numbers() if i not in live)
+        for i in gone:
+            fs, p = every.path(i)
+            fs.delete(p, True)
+        self.versions.trim()
+        return gone
 
     # -- reads ---------------------------------------------------------------
 
     def _covering(self, lo: str | None, hi: str | None) -> list[int]:
         return [r.sst_id for r in self.manifest() if r.n and (lo is None or r.last_key >= lo) and (hi is None or r.first_key <= hi)]
 
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("k").agg(F.max_by("v", "seq").alias("v")).filter("v IS NOT NULL")
+
     def view(self) -> DataFrame:
-        return self._read(self._covering(None, None)).groupBy("k").agg(F.max_by("v", "seq").alias("v"))
+        return self._live(self._read(self._covering(None, None)))
 
     def get(self, k: str) -> str | None:
         """Only segments whose range has the key are opened, and the key filter reaches their footers."""
@@ -122,4 +177,4 @@ class Store:
             rows = rows.filter(F.col("k") >= lo)
         if hi is not None:
             rows = rows.filter(F.col("k") <= hi)
-        return rows.groupBy("k").agg(F.max_by("v", "seq").alias("v")).orderBy("k")
+        return self._live(rows).orderBy("k")
