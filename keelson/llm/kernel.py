@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that one step of a worker holds as arrays.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +107,12 @@ class Words:
         return spans(self.raw, self.start, self.end)
 
 
+def texts(batches: Iterator[pa.RecordBatch], col: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches."""
+    for batch in batches:
+        yield from slices(batch, col, step)
+
+
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; spans ascend and don't overlap, empty ones hash alike."""
     out = np.zeros(len(start), np.uint64)
@@ -114,14 +120,34 @@ def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     full = size > 0
     s, z = start[full], size[full]
     if len(s):
-        cum = np.concatenate([[0], np.cumsum(z)])
-        local = np.arange(cum[-1]) - np.repeat(cum[:-1], z)
-        at = local + np.repeat(s, z)
-        v = _BYTE[raw[at]] * powers(int(z.max()))[local]
-        out[full] = np.add.reduceat(v, cum[:-1])
+        # in runs of whole spans, so that the arrays over bytes stay small beside a long text
+        upto, got, lo = np.cumsum(z), np.empty(len(s), np.uint64), 0
+        while lo < len(s):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
+            zz = z[lo:hi]
+            if zz[0] > STEP_BYTES:
+                got[lo], lo = _long(raw[s[lo] : s[lo] + zz[0]]), hi
+                continue
+            cum = np.concatenate([[0], np.cumsum(zz)])
+            local = np.arange(cum[-1]) - np.repeat(cum[:-1], zz)
+            v = _BYTE[raw[local + np.repeat(s[lo:hi], zz)]] * powers(int(zz.max()))[local]
+            got[lo:hi] = np.add.reduceat(v, cum[:-1])
+            lo = hi
+        out[full] = got
     return mix(out + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def _long(raw: np.ndarray) -> np.uint64:
+    """What spans() sums for one long span, by blocks."""
+    out, base = 0, 1
+    step = pow(_BASE, STEP_BYTES, 1 << 64)
+    for at in range(0, len(raw), STEP_BYTES):
+        block = raw[at : at + STEP_BYTES]
+        out += int((_BYTE[block] * powers(len(block))).sum(dtype=np.uint64)) * base
+        base = base * step % (1 << 64)
+    return np.uint64(out % (1 << 64))
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every `width` consecutive items of h, in one flat run; len(h) - width + 1 of them."""
     n = len(h) - width + 1

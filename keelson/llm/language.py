@@ -1,13 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built once.  A text is
+For each language a suffix automaton of labelled text is built.  A text is
 parsed greedily into the longest phrases that the automaton knows; the language
 that needs the fewest phrases, normalised by the logarithm of its training
 size, wins.  The automata work on bytes (letters A-Z lower-cased, other ASCII
 characters folded into one symbol), so any script fits, and become dense
 transition tables: a byte costs one look-up for each language, for thousands of
-segments of texts at once.  Texts are cut into segments of SEGMENT bytes, each
-parsed from the start state; all bytes of all texts are parsed.
+segments of texts at once.  Segments of SEGMENT bytes are parsed side by side,
+each from the state that the one before it in its text ends in.  That state is
+guessed first, from the segment's last TAIL bytes, as parses from different
+states soon break at the same places; segments whose guess was wrong are parsed
+anew until none is, so the parse is that of the whole text from left to right.
+
+Only the samples travel; each worker builds the automata once.
 """
 
 from __future__ import annotations
@@ -20,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import buffers, slices
+from .kernel import buffers, texts
+from .store import in_arrow, spare
 
 #: Bounds of the sample that the automata are built from: rows drawn and bytes used for each language, and the longest text drawn.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 150, 32_768, 16_384
 #: All languages are learned; past this many the rows (LEAST_ROWS at least) and bytes of each shrink.
 FULL_LANGS, LEAST_ROWS = 64, 20
-SEGMENT = 256
+#: Bytes of all languages' tables together, which every worker holds; each language's sample shrinks until they fit.
+TABLE_BYTES = 96 << 20
+SEGMENT, TAIL = 256, 128
+#: Bytes of symbols that a worker parses at once.
+GRID_BYTES = 16 << 20
 #: A text that breaks off MARGIN times more phrases a byte in its best language than held-out text of the
 #: learned ones does (its QUANTILE), and SLACK phrases besides, is in none of them; SLACK is for a name or
 #: key in a short text (one of 20 letters costs about 5).  MAX_RATE holds where there is no held-out text.
@@ -71,7 +81,7 @@ class Model:
     """Dense tables of the automata. langs: names in code-point order; bits: logarithm of each training size."""
 
     def __init__(self, samples: dict[str, bytes]):
-        self.langs = sorted(samples)
+        self.samples, self.langs = samples, sorted(samples)
         folded = {k: _FOLD[np.frombuffer(v, np.uint8)] for k, v in samples.items()}
         used = sorted(set().union(*[set(np.unique(v).tolist()) for v in folded.values()])) if folded else []
         # code 0: a byte that no sample has; the last code: past the end of a segment
@@ -83,46 +93,71 @@ class Model:
         self.tables, self.bits = [], []
         for k in self.langs:
             go = automaton(code[folded[k]].tobytes())
-            t = np.zeros((len(go), 1 << self.shift), np.int32)
-            root = np.zeros(1 << self.shift, np.int32)
+            # the last state follows a byte that the sample doesn't have: a phrase by itself, after which another begins
+            lost = len(go)
+            root = np.full(1 << self.shift, lost << self.shift, np.int32)
             for c, to in go[0].items():
                 root[c] = to << self.shift
-            t[:] = root | 1
+            t = np.tile(root | 1, (lost + 1, 1))
             for s, edges in enumerate(go):
                 for c, to in edges.items():
                     t[s, c] = to << self.shift
-            t[:, self.pad] = np.arange(len(go)) << self.shift
+            t[:, self.pad] = np.arange(lost + 1) << self.shift
             self.tables.append(t.ravel())
             self.bits.append(math.log2(max(2, len(samples[k]))))
 
+    def _parse(self, t: np.ndarray, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the steps of grid, one row a step, and breaks on the way, from the given states."""
+        v, count, clear = state.astype(np.int32), np.zeros(len(state), np.int32), np.int32(~self.pad)
+        for step in grid:
+            np.bitwise_and(v, clear, out=v)
+            np.add(v, step, out=v)
+            v = t.take(v)
+            count += v & 1
+        return v & clear, count
+
     def phrases(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Phrases that each row needs in each language; shape (rows, languages)."""
         size = np.diff(offs)
         segs = (size + SEGMENT - 1) // SEGMENT
         out = np.zeros((len(size), len(self.langs)), np.int64)
-        if not segs.sum():
-            return out
-        row = np.repeat(np.arange(len(size)), segs)
-        at = (np.arange(len(row)) - np.repeat(np.cumsum(segs) - segs, segs)) * SEGMENT + offs[:-1][row]
+        # long texts are taken in runs of segments, so that the grid of their symbols stays small
+        most = max(1, GRID_BYTES // (4 * SEGMENT))
+        last = np.cumsum(segs)
+        lo = 0
+        carry: list = [None] * len(self.langs)
+        while lo < (last[-1] if len(last) else 0):
+            hi = min(lo + most, int(last[-1]))
+            seg = np.arange(lo, hi)
+            row = np.searchsorted(last, seg, side="right")
+            self._run(raw, offs, row, seg - (last - segs)[row], carry, out)
+            lo = hi
+        return out
+
+    def _run(self, raw: np.ndarray, offs: np.ndarray, row: np.ndarray, nth: np.ndarray, carry: list, out: np.ndarray) -> None:
+        """Adds the phrases of consecutive segments; carry has each language's state where the run before ended."""
+        at = offs[:-1][row] + nth * SEGMENT
         end = offs[1:][row]
-        codes = np.concatenate([self.lut[raw], np.full(SEGMENT, self.pad, np.uint8)])
-        grid = np.lib.stride_tricks.sliding_window_view(codes, SEGMENT)[at].T.astype(np.int32)
-        tail = np.flatnonzero(end - at < SEGMENT)
-        past = np.arange(SEGMENT)[:, None] >= (end - at)[tail][None, :]
-        grid[:, tail] = np.where(past, self.pad, grid[:, tail])
-        has = np.flatnonzero(segs)
-        edge = (np.cumsum(segs) - segs)[has]
-        clear = np.int32(~self.pad)
+        lo, hi = int(at[0]), int(min(at[-1] + SEGMENT, len(raw)))
+        codes = np.concatenate([self.lut[raw[lo:hi]], np.full(SEGMENT, self.pad, np.uint8)])
+        grid = np.lib.stride_tricks.sliding_window_view(codes, SEGMENT)[at - lo].T.astype(np.int32)
+        short = np.flatnonzero(end - at < SEGMENT)
+        past = np.arange(SEGMENT)[:, None] >= (end - at)[short][None, :]
+        grid[:, short] = np.where(past, self.pad, grid[:, short])
+        inner = np.flatnonzero(nth[1:] > 0) + 1  # segments that go on with the one before
         for i, t in enumerate(self.tables):
-            v = np.zeros(len(row), np.int32)
-            count = np.ones(len(row), np.int32)
-            for step in range(SEGMENT):
-                np.bitwise_and(v, clear, out=v)
-                np.add(v, grid[step], out=v)
-                v = t.take(v)
-                count += v & 1
-            out[has, i] = np.add.reduceat(count, edge)
-        return out
+            state = np.zeros(len(row), np.int32)
+            if nth[0]:
+                state[0] = carry[i]
+            if len(inner):
+                state[inner] = self._parse(t, grid[SEGMENT - TAIL :, inner - 1], np.zeros(len(inner), np.int32))[0]
+            after, count = self._parse(t, grid, state)
+            while len(wrong := inner[after[inner - 1] != state[inner]]):
+                state[wrong] = after[wrong - 1]
+                after[wrong], count[wrong] = self._parse(t, grid[:, wrong], state[wrong])
+            carry[i] = after[-1]
+            # a text's first phrase begins without a break, but for a byte that no sample has
+            np.add.at(out[:, i], row, count + ((nth == 0) & (t.take(grid[0]) & 1 == 0)))
 
     def predict(self, raw: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """Language, score and best rate of each row."""
@@ -140,8 +175,19 @@ class Model:
         else:
             score = np.ones(n)
         lang = [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-        breaks = p[np.arange(n), best] - (np.diff(offs) + SEGMENT - 1) // SEGMENT
-        return lang, np.where(letters, score, 0.0), breaks / size
+        return lang, np.where(letters, score, 0.0), np.maximum(p[np.arange(n), best] - 1, 0) / size
+
+
+_models: dict = {}
+
+
+def _load(samples: dict[str, bytes]) -> Model:
+    """One model a worker, kept over batches and tasks."""
+    key = hash(tuple(sorted(samples.items())))
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(samples)
+    return _models[key]
 
 
 def _held(col: str = "doc_id") -> F.Column:
@@ -179,16 +225,37 @@ def sample(docs: DataFrame) -> list:
     return got
 
 
-def fit(docs: DataFrame) -> Model:
-    """Automata of all languages of docs (doc_id, text, lang), each from texts of its sample() up to SAMPLE_BYTES, or its part of FULL_LANGS times that."""
-    got = sample(docs)
-    most = SAMPLE_BYTES * FULL_LANGS // max(FULL_LANGS, len({r.lang for r in got}))
+def chosen(rows: list) -> dict[str, bytes]:
+    """Text of each language from rows (lang, text), up to SAMPLE_BYTES or what its part of TABLE_BYTES holds."""
+    folded = np.unique(_FOLD[np.frombuffer("".join(r.text for r in rows).encode(), np.uint8)])
+    # an automaton has at most two states a byte, and a state one int32 for each symbol
+    wide = 4 << max(1, math.ceil(math.log2(len(folded) + 2)))
+    most = min(SAMPLE_BYTES, TABLE_BYTES // (2 * wide * max(1, len({r.lang for r in rows}))))
     samples: dict[str, bytes] = {}
-    for r in got:
-        b = r.text.encode()
-        if len(samples.get(r.lang, b"")) + len(b) <= most or r.lang not in samples:
-            samples[r.lang] = samples.get(r.lang, b"") + b + b"\n"
-    return Model(samples)
+    for r in rows:
+        b, have = r.text.encode(), samples.get(r.lang, b"")
+        if len(have) + len(b) <= most or not have:
+            samples[r.lang] = have + b[:most].decode("utf-8", "ignore").encode() + b"\n"
+    return samples
+
+
+def fit(docs: DataFrame) -> Model:
+    """Automata of all languages of docs (doc_id, text, lang), each from what is chosen() of its sample()."""
+    return Model(chosen(sample(docs)))
+
+
+def _judged(docs: DataFrame, samples: dict[str, bytes], text: str, ok: str):
+    """A worker's loop over docs: each slice with its rows' languages, scores and rates; text and ok: columns of text and of whether it has a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    at, has = docs.columns.index(text), docs.columns.index(ok)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        model = _load(shared.value)
+        for part in texts(batches, text):
+            letters = part.column(has).to_numpy(zero_copy_only=False).astype(bool)
+            yield part, *model.predict(*buffers(part.column(at)), letters)
+
+    return run
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -198,20 +265,17 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     and everywhere if train has no labelled text; ties go to the first language
     by code point.  score is one less the best language's need over the
     second's (1 if there is one language); rate is phrases a byte in the best,
-    without the one that each segment begins with.
+    without the first.  Repeated rows are judged one by one; other columns of
+    docs are not read.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(train))
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("ok"))
+    judged = _judged(small, fit(train).samples, "text", "ok")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                letters = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                lang, score, rate = model.value.predict(*buffers(part.column(1)), letters)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "rate"])
+        for part, lang, score, rate in judged(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "rate"])
 
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("ok"))
-    return small.mapInArrow(run, "doc_id long, lang_pred string, score double, rate double")
+    return in_arrow(small, run, "doc_id long, lang_pred string, score double, rate double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -220,11 +284,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def most_rate(model: Model, held: DataFrame) -> float:
     """Phrases a byte up to which a text is in a learned language, by held-out rows (doc_id, text, lang)."""
-    texts = [r.text for r in sample(held.filter(F.col("text").rlike(LETTER))) if r.lang in model.langs]
-    if not texts:
+    some = [r.text for r in sample(held.filter(F.col("text").rlike(LETTER))) if r.lang in model.langs]
+    if not some:
         return MAX_RATE
     rates = []
-    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", 1 << 20):
+    for part in texts([pa.RecordBatch.from_arrays([pa.array(some, pa.large_string())], ["text"])]):
         rates.append(model.predict(*buffers(part.column(0)), np.ones(part.num_rows, bool))[2])
     return MARGIN * float(np.quantile(np.concatenate(rates), QUANTILE))
 
@@ -232,25 +296,24 @@ def most_rate(model: Model, held: DataFrame) -> float:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows that are in no learned language: no letter, or too many phrases a byte.
 
-    Columns and rows stay as they are; nothing is shuffled.
+    Null, empty and letterless texts go; without labelled text all rows go.
+    Repeated rows are judged one by one, and columns stay as they are, whatever
+    their names; nothing is shuffled; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    names = docs.columns
-    fitted = fit(training_rows(docs))
-    most = most_rate(fitted, docs.select("doc_id", "text", "lang").filter(_held()))
-    model = spark.sparkContext.broadcast(fitted)
+    names, schema = docs.columns, docs.schema
+    model = fit(training_rows(docs))
+    most = most_rate(model, docs.select("doc_id", "text", "lang").filter(_held()))
+    (ok,) = spare(docs, "ok")
+    docs = docs.withColumn(ok, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+    judged = _judged(docs, model.samples, "text", ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
-                letters = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                raw, offs = buffers(part.column(0))
-                lang, _, rate = model.value.predict(raw, offs, letters)
-                ok = np.array([x != "und" for x in lang], bool) & (rate <= most + SLACK / np.maximum(np.diff(offs), 1))
-                yield pa.RecordBatch.from_arrays(part.columns[2:], names).filter(pa.array(ok))
-
-    ok = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__ok")
-    return docs.select(docs.text.alias("__text"), ok, *[docs[n] for n in names]).mapInArrow(run, docs.schema)
+        for part, lang, _, rate in judged(batches):
+            size = np.diff(buffers(part.column(names.index("text")))[1])
+            fine = np.array([x != "und" for x in lang], bool) & (rate <= most + SLACK / np.maximum(size, 1))
+            yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names).filter(pa.array(fine))
+
+    return in_arrow(docs, run, schema)
 
 
 def op3_cross_parsing(spark, sf_dir: str) -> DataFrame:

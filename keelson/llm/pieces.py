@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import slices
-from .store import keep, parts
+from .kernel import texts
+from .store import in_arrow, keep, parts, scratch, spare
 
 #: Where the public vocabularies are; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a chunk.
-CHUNK = 65_536
+#: Characters of a chunk, and matrices that one step multiplies.
+CHUNK, FAN = 65_536, 16
 #: Words whose pieces a worker remembers.
 MEMORY = 150_000
 #: Longer words are solved one by one.
@@ -565,26 +565,29 @@ def combine(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return [(s, t, w) for (s, t), w in out.items()]
 
 
-def prefixes(mats: list) -> list:
-    """Products of the first 1, 2, ... matrices, by doubling: the scan that a tree of workers would do."""
-    out, step = list(mats), 1
-    while step < len(out):
-        out = [combine(out[i - step], m) if i >= step else m for i, m in enumerate(out)]
-        step *= 2
+def product(mats: list) -> list[tuple]:
+    out = mats[0]
+    for m in mats[1:]:
+        out = combine(out, m)
     return out
 
 
-def cuts(mats: list) -> list[tuple]:
-    """The state at each of the n + 1 edges of n chunks, on the best path."""
-    upto = prefixes(mats)
-    state = max(upto[-1], key=lambda x: x[2])[1]
-    out = [tuple(state)]
+def cuts(mats: list, first: tuple = (0, ""), last: tuple | None = None) -> list[tuple]:
+    """The state at each of the n + 1 edges of n chunks on the best path from one state to another, or to the best one."""
+    upto = [{first: 0.0}]
+    for m in mats:
+        new: dict = {}
+        for s, t, w in m:
+            s, t = tuple(s), tuple(t)
+            if s in upto[-1] and upto[-1][s] + w > new.get(t, _LOW):
+                new[t] = upto[-1][s] + w
+        upto.append(new)
+    state = last if last is not None else max(upto[-1], key=lambda s: (upto[-1][s], s))
+    out = [state]
     for k in range(len(mats) - 1, 0, -1):
-        to = tuple(out[-1])
-        into = {tuple(s): w for s, t, w in mats[k] if tuple(t) == to}
-        best = max(((w + into[tuple(m)], tuple(m)) for _, m, w in upto[k - 1] if tuple(m) in into))
-        out.append(best[1])
-    return [(0, ""), *out[::-1]]
+        into = upto[k]
+        out.append(max((into[tuple(s)] + w, tuple(s)) for s, t, w in mats[k] if tuple(t) == out[-1] and tuple(s) in into)[1])
+    return [first, *out[::-1]]
 
 
 _models: dict = {}
@@ -626,15 +629,84 @@ def _ids_array(lists: list[bytes], null: list[bool]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(lists), np.int32)), mask=mask)
 
 
+_STATE, _WEIGHTS = "struct<j:int,b:string>", "array<struct<f:struct<j:int,b:string>,t:struct<j:int,b:string>,w:double>>"
+_ST = pa.struct([("j", pa.int32()), ("b", pa.string())])
+_MAT = pa.list_(pa.struct([("f", _ST), ("t", _ST), ("w", pa.float64())]))
+
+
+def _two(s: dict) -> tuple:
+    return s["j"], s["b"]
+
+
+def _one(s: tuple) -> dict:
+    return {"j": s[0], "b": s[1] or ""}
+
+
+def _line(ms: list) -> list:
+    """Matrices of a group in order of their places."""
+    return [[(_two(x["f"]), _two(x["t"]), x["w"]) for x in y["m"]] for y in sorted(ms, key=lambda y: y["k"])]
+
+
+def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            rows.append((r["doc"], r["k"], [{"f": _one(f), "t": _one(t), "w": w} for f, t, w in product(_line(r["ms"]))]))
+        yield _rows(["doc", "k", "m"], [pa.int64(), pa.int32(), _MAT], rows)
+
+
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r["doc"], r["k"], *map(_one, cuts([_line([{"k": 0, "m": r["m"]}])[0]]))) for r in batch.to_pylist()]
+        yield _rows(["doc", "k", "f", "t"], [pa.int64(), pa.int32(), _ST, _ST], rows)
+
+
+def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            edges = cuts(_line(r["ms"]), _two(r["f"]), _two(r["t"]))
+            for i, k in enumerate(sorted(y["k"] for y in r["ms"])):
+                rows.append((r["doc"], k, *map(_one, edges[i : i + 2])))
+        yield _rows(["doc", "k", "f", "t"], [pa.int64(), pa.int32(), _ST, _ST], rows)
+
+
+def scan(mats: DataFrame) -> DataFrame:
+    """(doc, k, f, t): the states at both ends of each chunk on its text's best path, from all chunks' matrices (doc, k, m).
+
+    Up a tree, FAN neighbours' matrices are multiplied into one; down it, a
+    node's two states fix those between its children.  No task holds more than
+    FAN matrices of a text.
+    """
+
+    def grouped(m: DataFrame) -> DataFrame:
+        return m.groupBy("doc", F.floor(F.col("k") / FAN).cast("int").alias("g")).agg(F.collect_list(F.struct("k", "m")).alias("ms"))
+
+    levels, width = [mats], (mats.agg(F.max("k")).first()[0] or 0) + 1
+    while width > 1:
+        up = in_arrow(grouped(levels[-1]).select("doc", F.col("g").alias("k"), "ms"), _multiply, f"doc long, k int, m {_WEIGHTS}")
+        levels.append(keep(up, "products"))
+        width = -(-width // FAN)
+    edges = in_arrow(levels.pop(), _begin, f"doc long, k int, f {_STATE}, t {_STATE}")
+    for m in reversed(levels):
+        above = edges.select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "f", "t")
+        both = grouped(m).join(above, (F.col("doc") == F.col("_d")) & (F.col("g") == F.col("_k"))).select("doc", "ms", "f", "t")
+        edges = keep(in_arrow(both, _divide, f"doc long, k int, f {_STATE}, t {_STATE}"), "cuts")
+    return edges
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: str | None = None, back: bool = False) -> DataFrame:
     """docs with a column ids array<int>; all rows and columns stay.
 
     back adds decoded_sha256, of the text that the ids decode to, worked out
     in the same worker, so that ids needn't be sent out twice.
 
-    A null text has null ids, an empty one none.  A text of more than `chunk`
+    A null text has null ids, an empty one none; repeated rows are encoded one
+    by one; an empty table gives an empty one.  A text of more than `chunk`
     characters is cut; its chunks are spread over tasks, and only their small
-    matrices meet.  A column that is named ids already is replaced.
+    matrices meet.  Columns that are named ids or decoded_sha256 already are
+    replaced by what is added, other names don't matter.  Rows come in no
+    order; a column that says theirs comes through.
     """
     added = ["ids", "decoded_sha256"] if back else ["ids"]
     names = [n for n in docs.columns if n not in added]
@@ -644,19 +716,18 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                texts = part.column(at).to_pylist()
-                ids = m.words([m.prepared(t or "") for t in texts])
-                cols = [*part.columns, _ids_array(ids, [t is None for t in texts])]
-                if back:
-                    cols.append(pa.array([None if t is None else m.digest(x) for t, x in zip(texts, ids, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*names, *added])
+        for part in texts(batches):
+            some = part.column(at).to_pylist()
+            ids = m.words([m.prepared(t or "") for t in some])
+            cols = [*part.columns, _ids_array(ids, [t is None for t in some])]
+            if back:
+                cols.append(pa.array([None if t is None else m.digest(x) for t, x in zip(some, ids, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, [*names, *added])
 
     d = docs.select(*[docs[n] for n in names])
     is_short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())][: len(added)]
-    small = d.filter(is_short).mapInArrow(short, T.StructType([*d.schema.fields, *more]))
+    small = in_arrow(d.filter(is_short), short, T.StructType([*d.schema.fields, *more]))
 
     # long texts: a key for each, so that repeated ids and rows stay apart
     row = F.struct(*[d[n] for n in names]).alias("row")
@@ -678,59 +749,40 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
                         [(doc, k, n, text[lo:hi], a - lo, b - lo)],
                     )
 
-    tasks = max(parts(spark), 1)
-    pieces = keep(long_.select("doc", "row.text").mapInArrow(split, _CHUNKS).repartition(tasks, "doc", "k"), "chunks")
-    state = "struct<j:int,b:string>"
-
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
-        st = pa.struct([("j", pa.int32()), ("b", pa.string())])
-        kind_ = pa.list_(pa.struct([("f", st), ("t", st), ("w", pa.float64())]))
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                entries = [(0, "")] if r["k"] == 0 else m.edge_states(r["text"], r["start"])
-                first = [(0, None)] if r["k"] == 0 else entries
-                got = m.matrix(r["text"], r["start"], r["stop"], first, r["k"] == r["n"] - 1)
-                rows.append((r["doc"], r["k"], [{"f": {"j": f[0], "b": f[1] or ""}, "t": {"j": t[0], "b": t[1]}, "w": w} for f, t, w in got]))
-            yield _rows(["doc", "k", "m"], [pa.int64(), pa.int32(), kind_], rows)
-
-    mats = pieces.mapInArrow(matrices, f"doc long, k int, m array<struct<f:{state},t:{state},w:double>>")
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        st = pa.struct([("j", pa.int32()), ("b", pa.string())])
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                two = lambda s: (s["j"], s["b"])
-                line = [[(two(x["f"]), two(x["t"]), x["w"]) for x in y["m"]] for y in sorted(r["ms"], key=lambda y: y["k"])]
-                edges = cuts(line)
-                for k in range(len(line)):
-                    rows.append((r["doc"], k, *({"j": s[0], "b": s[1]} for s in edges[k : k + 2])))
-            yield _rows(["doc", "k", "f", "t"], [pa.int64(), pa.int32(), st, st], rows)
-
-    per = mats.groupBy("doc").agg(F.collect_list(F.struct("k", "m")).alias("ms"))
-    known = keep(per.mapInArrow(resolve, f"doc long, k int, f {state}, t {state}"), "cuts")
-    known = known.select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "f", "t")
+                entries = [(0, None)] if r["k"] == 0 else m.edge_states(r["text"], r["start"])
+                got = m.matrix(r["text"], r["start"], r["stop"], entries, r["k"] == r["n"] - 1)
+                rows.append((r["doc"], r["k"], [{"f": _one(f), "t": _one(t), "w": w} for f, t, w in got]))
+            yield _rows(["doc", "k", "m"], [pa.int64(), pa.int32(), _MAT], rows)
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                f, t = ((s["j"], s["b"]) for s in (r["f"], r["t"]))
-                rows.append((r["doc"], r["k"], m.between(r["text"], r["start"], r["stop"], f, t, r["k"] == r["n"] - 1)))
+                ids = m.between(r["text"], r["start"], r["stop"], _two(r["f"]), _two(r["t"]), r["k"] == r["n"] - 1)
+                rows.append((r["doc"], r["k"], ids))
             yield _rows(["doc", "k", "ids"], [pa.int64(), pa.int32(), pa.list_(pa.int32())], rows)
 
-    both = pieces.join(known, (F.col("doc") == F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc", "k", "n", "text", "start", "stop", "f", "t")
-    got = both.mapInArrow(traced, "doc long, k int, ids array<int>")
-    got = got.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("s"))
-    got = got.select(F.col("doc").alias("_d"), F.flatten(F.transform("s", lambda x: x.ids)).alias("ids"))
+    with scratch(spark):
+        chunks = in_arrow(long_.select("doc", "row.text"), split, _CHUNKS).repartition(max(parts(spark), 1), "doc", "k")
+        chunks = keep(chunks, "chunks")
+        known = scan(keep(in_arrow(chunks, matrices, f"doc long, k int, m {_WEIGHTS}"), "matrices"))
+        known = known.select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "f", "t")
+        both = chunks.join(known, (F.col("doc") == F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc", "k", "n", "text", "start", "stop", "f", "t")
+        got = in_arrow(both, traced, "doc long, k int, ids array<int>")
+        got = got.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("s"))
+        got = keep(got.select(F.col("doc").alias("_d"), F.flatten(F.transform("s", lambda x: x.ids)).alias("ids")), "ids", last=True)
     large = long_.join(got, F.col("doc") == F.col("_d")).select(*[F.col("row")[n].alias(n) for n in names], "ids")
     if back:
-        large = decode(large.withColumn("__ids", F.col("ids")), model_path, kind, out="decoded_sha256", named="__ids")
+        (twin,) = spare(large, "twin")
+        large = decode(large.withColumn(twin, F.col("ids")), model_path, kind, out="decoded_sha256", named=twin)
         large = large.withColumn("decoded_sha256", F.sha2(F.encode("decoded_sha256", "UTF-8"), 256))
-    return small.unionAll(large)
+    return small.unionAll(large.select(*names, *added))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None, out: str = "text", named: str = "ids") -> DataFrame:
@@ -749,8 +801,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None,
                 texts = [t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*names, out])
 
-    e = encoded.select(encoded[named].alias("__of"), *[encoded[n] for n in names])
-    return e.mapInArrow(run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]))
+    (of,) = spare(encoded, "of")
+    e = encoded.select(encoded[named].alias(of), *[encoded[n] for n in names])
+    return in_arrow(e, run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op1_max_plus_pieces(spark, sf_dir: str) -> DataFrame:

@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, buffers, slices
+from .kernel import Words, buffers, texts
+from .store import in_arrow
 
 PASSAGE_WORDS = 48
-#: Bounds of the training sample: labelled documents, and the longest text among them in bytes.
-SAMPLE_DOCS, SAMPLE_TEXT = 3000, 32_768
+#: Bounds of the training sample: labelled documents, and passages of each, spread evenly over it.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 64
+#: Passages whose bytes are counted at once.
+BLOCK = 1 << 12
 HIDDEN, GATE, EPOCHS, RATE, DECAY, SEED = 24, 12, 250, 0.02, 1e-4, 11
 THRESHOLD = 0.3
 
@@ -46,12 +49,13 @@ def encode(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, row = w.start[head], w.doc[head]
         end = np.minimum(np.concatenate([start[1:], [len(raw)]]), offs[row + 1])
         size = end - start
-        owner = np.repeat(ids, size)
-        at = np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size)
-        cls = _CLASS[raw]
-        pair = cls[at] * 8 + cls[np.minimum(at + 1, len(raw) - 1)]
-        x[:, :64] = np.bincount(owner * 64 + pair, minlength=bound[-1] * 64).reshape(-1, 64)
-        x[ids, :64] /= size[:, None]
+        for i in range(0, len(ids), BLOCK):
+            some = size[i : i + BLOCK]
+            owner = np.repeat(np.arange(len(some)), some)
+            at = np.arange(len(owner)) + np.repeat(start[i : i + BLOCK] - (np.cumsum(some) - some), some)
+            pair = _CLASS[raw[at]] * 8 + _CLASS[raw[np.minimum(at + 1, len(raw) - 1)]]
+            got = np.bincount(owner * 64 + pair, minlength=len(some) * 64).reshape(-1, 64)
+            x[ids[i : i + BLOCK], :64] = got / some[:, None]
         words = np.bincount(place, minlength=bound[-1])
         h = w.hashes()
         again = np.zeros(len(h), bool)
@@ -92,24 +96,28 @@ class Attention:
         y = 1 / (1 + np.exp(-np.clip((bag @ p["c"]).ravel() + p["d"], -30, 30)))
         return y, (z, h, t, s, a, bag, size)
 
+    def gradient(self, x: np.ndarray, bound: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the bags' labels, by parameter."""
+        p = self.p
+        y, (z, h, t, s, a, bag, size) = self.forward(x, bound)
+        dy = (y - label)[:, None] / len(label)
+        dbag = np.repeat(dy @ p["c"].T, size, axis=0)
+        da = (dbag * h).sum(axis=1)
+        dg = a * (da - np.repeat(np.add.reduceat(a * da, bound[:-1]), size))
+        dts = dg[:, None] @ p["w"].T
+        dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
+        dh = a[:, None] * dbag + dt @ p["V"].T + ds @ p["U"].T
+        du = dh * (1 - h * h)
+        return {
+            "E": z.T @ du, "e": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds,
+            "w": (t * s).T @ dg[:, None], "c": bag.T @ dy, "d": dy.sum(axis=0),
+        }
+
     def fit(self, x: np.ndarray, bound: np.ndarray, label: np.ndarray) -> None:
         m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         for step in range(1, EPOCHS + 1):
             p = self.p
-            y, (z, h, t, s, a, bag, size) = self.forward(x, bound)
-            dy = (y - label)[:, None] / len(label)
-            dbag = np.repeat(dy @ p["c"].T, size, axis=0)
-            da = (dbag * h).sum(axis=1)
-            dg = a * (da - np.repeat(np.add.reduceat(a * da, bound[:-1]), size))
-            dts = dg[:, None] @ p["w"].T
-            dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-            dh = a[:, None] * dbag + dt @ p["V"].T + ds @ p["U"].T
-            du = dh * (1 - h * h)
-            grad = {
-                "E": z.T @ du, "e": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds,
-                "w": (t * s).T @ dg[:, None], "c": bag.T @ dy, "d": dy.sum(axis=0),
-            }
-            for k, v in grad.items():
+            for k, v in self.gradient(x, bound, label).items():
                 v = v + DECAY * p[k]
                 m[k][0] = 0.9 * m[k][0] + 0.1 * v
                 m[k][1] = 0.999 * m[k][1] + 0.001 * v * v
@@ -127,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | float:
     """A model from the labelled rows of docs, by a bounded sample; a constant score if fewer than two classes are there.
 
     labels: (doc_id, quality); rows with null in either take no part, and of
-    rows that repeat a doc_id one counts.
+    rows that repeat a doc_id one counts.  A document of more than
+    SAMPLE_PASSAGES passages lends so many, evenly spread over all of it.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("label"))
     known = known.filter("_id IS NOT NULL AND label IS NOT NULL").filter(~_held("_id"))
@@ -135,15 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | float:
     drawn = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(SAMPLE_DOCS).groupBy("_id").agg(F.min("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, bound = encode(*buffers(batch.column(2)))
-                lists = [x[a:b].astype(np.float32).ravel().tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], ["id", "label", "x"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
-    got = {r.id: r for r in rows.mapInArrow(run, "id long, label int, x binary").orderBy("id", "x").limit(2 * SAMPLE_DOCS).collect()}
+        for part in texts(batches):
+            x, bound = encode(*buffers(part.column(2)))
+            lists = []
+            for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                some = x[a:b] if b - a <= SAMPLE_PASSAGES else x[a + np.arange(SAMPLE_PASSAGES) * (b - a) // SAMPLE_PASSAGES]
+                lists.append(some.astype(np.float32).ravel().tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary())], ["id", "label", "x"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    rows = in_arrow(rows.select("doc_id", "label", "text"), run, "id long, label int, x binary")
+    # of rows that repeat an id the least by content: SAMPLE_DOCS rows come to the driver at most
+    got = {r.id: r for r in rows.groupBy("id").agg(F.min(F.struct("label", "x")).alias("s")).select("id", "s.*").collect()}
     bags = [np.frombuffer(got[i].x, np.float32).reshape(-1, FEATURES) for i in sorted(got)]
     label = np.array([float(got[i].label > 0) for i in sorted(got)])
     if len(set(label.tolist())) < 2:
@@ -155,20 +167,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention | float:
 
 
 def assess(docs: DataFrame, model: Attention | float) -> DataFrame:
-    """(doc_id, score) for every row; a null text scores as an empty one, a bag of one passage without words."""
+    """(doc_id, score) for every row; a null text scores as an empty one, a bag of one passage without words.
+
+    Repeated rows are scored one by one; an empty table gives an empty one;
+    other columns of docs are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                m = shared.value
-                if isinstance(m, float):
-                    score = np.full(part.num_rows, m)
-                else:
-                    score = m.score(*encode(*buffers(part.column(1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+        m = shared.value
+        for part in texts(batches):
+            score = np.full(part.num_rows, m) if isinstance(m, float) else m.score(*encode(*buffers(part.column(1))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def op5_attention_quality(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ longest-common-prefix values all maximal repeated word sequences: the longest
 repeat that starts at a word is the larger of the values beside its suffix.
 The union of these spans gives the covered fraction, the largest value the
 longest repeat.  All texts of a batch are sorted together; the text is part of
-the first key, so no repeat spans two.
+the first key, so no repeat spans two.  Common prefixes are found by halving, on
+hashes of word sequences, so a text costs some 100 bytes a word and no more.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SPACE, Words, buffers, slices, spans, windows, within
+from .kernel import SPACE, Words, buffers, spans, texts, windows, within
+from .store import in_arrow
 
 #: Repeats of so many words count as covered.
 MIN_REPEAT = 4
 #: A text fails if more of its words are covered, or a repeat is longer.
 MAX_COVERED = 0.30
 MAX_REPEAT_WORDS = 100
-_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
 
@@ -40,7 +42,7 @@ def repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     slot = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = slot
-    levels, step = [rank.astype(np.int32)], 1
+    word_rank, step = rank, 1
     ends = np.searchsorted(doc, doc, side="right")
     while True:
         size = np.bincount(rank, minlength=n)
@@ -57,20 +59,24 @@ def repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
         new[1:] |= second[1:] != second[:-1]
         rank = rank.copy()
         rank[act] = np.maximum.accumulate(np.where(new, at, 0))
-        levels.append(rank.astype(np.int32))
         step *= 2
     sa = np.empty(n, np.int64)
     sa[rank] = np.arange(n)
-    pair = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
-    a, b = sa[pair].copy(), sa[pair + 1].copy()
+    pair = np.flatnonzero(word_rank[sa[1:]] == word_rank[sa[:-1]])
+    a, b = sa[pair], sa[pair + 1]
+    # sums of word hashes times powers: a sequence's hash is a difference of two, brought to one exponent
+    power = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    upto = np.zeros(n + 1, np.uint64)
+    np.cumsum(word * power[:-1], out=upto[1:])
     lcp = np.zeros(len(pair), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        r = levels[k]
-        ok = (a < n) & (b < n)
-        ok &= r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)]
-        lcp[ok] += 1 << k
-        a[ok] += 1 << k
-        b[ok] += 1 << k
+    while step:
+        ok = np.flatnonzero((a + lcp + step <= ends[a]) & (b + lcp + step <= ends[b]))
+        x, y = a[ok] + lcp[ok], b[ok] + lcp[ok]
+        same = (upto[x + step] - upto[x]) * power[n - x] == (upto[y + step] - upto[y]) * power[n - y]
+        lcp[ok[same]] += step
+        step //= 2
     np.maximum.at(out, sa[pair], lcp)
     np.maximum.at(out, sa[pair + 1], lcp)
     return out
@@ -83,7 +89,10 @@ def measure(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     h = w.hashes()
 
     def total(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+        out, full = np.zeros(len(at) - 1, np.int64), at[1:] > at[:-1]
+        if full.any():
+            out[full] = np.add.reduceat(x, at[:-1][full], dtype=np.int64)
+        return out
 
     out = {"n_words": np.diff(w.first)}
     out["word_chars"] = total(~SPACE[raw] & ((raw & 0xC0) != 0x80), offs)
@@ -144,13 +153,12 @@ def assess(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                m = measure(*buffers(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[c].astype(np.int64)) for c in _COUNTS]], ["doc_id", *_COUNTS])
+        for part in texts(batches):
+            m = measure(*buffers(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[c].astype(np.int64)) for c in _COUNTS]], ["doc_id", *_COUNTS])
 
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = got.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    got = in_arrow(got, run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
     return got.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)

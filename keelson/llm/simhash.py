@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import Words, buffers, labels, slices
-from .store import keep, parts
+from .kernel import Words, buffers, labels, texts
+from .store import in_arrow, keep, parts, scratch
 
 NEAR_BITS = 3
 #: A node with more fingerprints than this is factored by the next masks.
@@ -30,6 +30,8 @@ NODE_ROWS = 1024
 LEVELS = 4
 TASK_ROWS = 400_000
 FAN = 4
+#: Hashes that are taken or counted at once.
+BLOCK = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -45,24 +47,32 @@ def fingerprint_rows(raw: np.ndarray, offs: np.ndarray, width: int = 3, seed: in
     size = w.end - w.start
     cum = np.concatenate([[0], np.cumsum(size + 1)])
     flat = np.full(cum[-1], 32, np.uint8)
-    n = np.cumsum(size)
-    local = np.arange(n[-1]) - np.repeat(n - size, size)
-    flat[local + np.repeat(cum[:-1], size)] = raw[local + np.repeat(w.start, size)]
+    for i in range(0, len(w), BLOCK):
+        some, n = size[i : i + BLOCK], np.cumsum(size[i : i + BLOCK])
+        local = np.arange(n[-1]) - np.repeat(n - some, some)
+        flat[local + np.repeat(cum[i : i + len(some)], some)] = raw[local + np.repeat(w.start[i : i + BLOCK], some)]
     text, begin, stop = flat.tobytes(), cum[:-1], cum[1:] - 1
     count = np.diff(w.first)
     sh = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), sh)
     at = np.arange(sh.sum()) - np.repeat(np.cumsum(sh) - sh, sh) + w.first[:-1][row]
     upto = np.minimum(at + width, w.first[1:][row]) - 1
-    xx = xxhash.xxh64_intdigest
-    h = np.fromiter((xx(text[a:b], seed) for a, b in zip(begin[at].tolist(), stop[upto].tolist(), strict=True)), np.uint64, len(at))
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    rows = np.flatnonzero(sh)
-    edge = np.concatenate([[0], np.cumsum(sh[rows])])
-    packed = np.empty((len(rows), 8), np.uint8)
-    for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        packed[i] = np.packbits(bits[a:b].sum(axis=0, dtype=np.uint32) * 2 > b - a)
-    out[rows] = packed.view(">u8").ravel()
+    xx, h = xxhash.xxh64_intdigest, np.empty(len(at), np.uint64)
+    for i in range(0, len(at), BLOCK):
+        ends = zip(begin[at[i : i + BLOCK]].tolist(), stop[upto[i : i + BLOCK]].tolist(), strict=True)
+        h[i : i + BLOCK] = np.fromiter((xx(text[a:b], seed) for a, b in ends), np.uint64)
+    return fold(h, np.concatenate([[0], np.cumsum(sh)]))
+
+
+def fold(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """SimHash of each run of 64-bit hashes: a bit is set if more than half of them set it; 0 for none."""
+    out = np.zeros(len(bound) - 1, np.uint64)
+    for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
+        votes = np.zeros(64, np.int64)
+        for at in range(a, b, BLOCK):
+            block = h[at : min(b, at + BLOCK)].astype(">u8").view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
+        out[i] = np.packbits(votes * 2 > b - a).view(">u8")[0]
     return out
 
 
@@ -70,13 +80,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long) for every row; a null or blank text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                fp = fingerprint_rows(*buffers(part.column(1)), width=width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        for part in texts(batches):
+            fp = fingerprint_rows(*buffers(part.column(1)), width=width)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return small.mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(small, run, "doc_id long, fp long")
 
 
 def masks(levels: int = LEVELS, near: int = NEAR_BITS) -> list[list[int]]:
@@ -219,7 +228,7 @@ def near_links(nodes: DataFrame, near: int = NEAR_BITS) -> DataFrame:
     for d in done[1:]:
         every = every.unionAll(d)
     n = max(parts(spark), total * (near + 1) // TASK_ROWS + 1)
-    return every.select("k", "node", "fp").repartition(n, "k").mapInArrow(search(near), "a long, b long")
+    return in_arrow(every.select("k", "node", "fp").repartition(n, "k"), search(near), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, near: int = NEAR_BITS) -> DataFrame:
@@ -231,13 +240,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty one.  Other columns of docs are not read.
     """
     fps = keep(fingerprints(docs, id_col, text_col, width), "fp")
-    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "fpnode")
-    star = components(near_links(nodes.filter("node IS NOT NULL").select("node", "fp"), near))
-    star = star.select(F.col("a").alias("_a"), "root")
-    cls = keep(
-        nodes.join(star, nodes.node == star._a, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component_id")),
-        "class",
-    )
+    with scratch(docs.sparkSession):
+        nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "fpnode")
+        star = components(near_links(nodes.filter("node IS NOT NULL").select("node", "fp"), near))
+        star = star.select(F.col("a").alias("_a"), "root")
+        cls = nodes.join(star, nodes.node == star._a, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component_id"))
+        cls = keep(cls, "class", last=True)
     return fps.join(cls, fps.fp == cls._fp, "left").select("doc_id", "fp", "component_id")
 
 

@@ -1,56 +1,48 @@
-"""Shared storage for intermediate tables.
-
-The folder comes from spark.checkpoint.dir; only where that is unset (tests,
-a local session) is a folder of our own made and set.  Written tables cut the
-lineage, so that a lost executor costs no earlier stage.
-"""
+"""Batches of bounded size for Python workers, and the shared tables of the library under one name."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-def shared_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = have.get() if have.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="keelson-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+from ..functions.tables import drop, fresh, keep, parts, put, scratch, shared_dir
 
+__all__ = ["drop", "fresh", "in_arrow", "keep", "parts", "put", "scratch", "shared_dir", "spare", "tidy"]
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Bytes of rows that Spark hands to a Python worker at a time, unless the session says otherwise; a longer row comes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def keep(df: DataFrame, name: str = "part") -> DataFrame:
-    """df as a table written once in the shared folder."""
-    spark = df.sparkSession
-    at = fresh(spark, name)
-    schema = df.schema
-    df.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+def tidy() -> None:
+    """Gives free memory of this worker back to the system, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of plans that are no longer referenced."""
-    for _ in range(3):  # what one round frees may hold what the next one frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of at most BATCH_BYTES, unless the session sets that itself."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
 
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.mapInArrow(tidied, schema)
 
 
-def own(df: DataFrame, need: list[str]) -> DataFrame:
-    """Only the columns that an operator reads, so that extra ones can't clash with its own."""
-    return df.select(*need)
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as make it differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

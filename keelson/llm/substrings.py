@@ -7,8 +7,8 @@ at the same shift.  So only anchors at covered positions are hashed and
 shuffled; where an anchor occurs in two documents, the full windows around it
 are hashed in turn and settled by the least document that holds them.
 
-Each worker batch settles among its own rows first, and sends on one row for
-each hash: a passage in a third of all documents costs one row a batch.
+Each worker settles among LOCAL_ROWS of its own rows first, and sends on one row
+for each hash: a passage in a third of all documents costs one row for so many.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, buffers, cover, slices, windows, within
-from .store import keep, parts, release
+from .kernel import Words, buffers, cover, texts, windows, within
+from .store import in_arrow, keep, parts, scratch, spare
 
 WINDOW = 13
-#: Rows that one task of the settling shuffle holds, about 40 bytes each.
-TASK_ROWS = 1_000_000
+#: Rows that one task of the settling shuffle holds, about 40 bytes each, and hashes that a worker settles among its own rows.
+TASK_ROWS, LOCAL_ROWS = 1_000_000, 1 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -120,15 +120,29 @@ def _settle(least_too: bool) -> Callable:
     return run
 
 
+def _settled(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of the settling shuffle from (hashes, documents), of LOCAL_ROWS at a time."""
+    hs, docs, held = [], [], 0
+    for h, doc in found:
+        hs.append(h)
+        docs.append(doc)
+        held += len(h)
+        if held >= LOCAL_ROWS:
+            yield _settle_local(np.concatenate(hs), np.concatenate(docs))
+            hs, docs, held = [], [], 0
+    if held:
+        yield _settle_local(np.concatenate(hs), np.concatenate(docs))
+
+
 def _by_hash(rows: DataFrame, n: int, least_too: bool) -> DataFrame:
     # settled rows only pass through, so they are spread evenly
     place = F.when(F.col("kind") == SETTLED, F.xxhash64("h", "doc")).otherwise(F.col("h"))
-    told = rows.repartition(n, place).mapInArrow(_settle(least_too), "doc long, h long")
+    told = in_arrow(rows.repartition(n, place), _settle(least_too), "doc long, h long")
     return told.groupBy("doc").agg(F.collect_set("h").alias("hs"))
 
 
 def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, hs): for each document the hashes of its windows that also start in a document with a lesser id.
+    """(doc, hs): for each document the hashes of its windows that also start in a document with a lesser id.  Written.
 
     docs: (doc long, text string); rows of one id count as one document.
     """
@@ -137,21 +151,19 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = max(parts(spark), size // 12 // TASK_ROWS + 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, ids = [], []
-            for part in slices(batch, "text"):
+        def found() -> Iterator[tuple]:
+            for part in texts(batches):
                 w = Words(*buffers(part.column(1)))
                 h, ok = _anchors(w, window)
-                hs.append(h[ok])
-                ids.append(part.column(0).to_numpy()[w.doc[: len(h)][ok]])
-            if hs:
-                yield _settle_local(np.concatenate(hs), np.concatenate(ids))
+                yield h[ok], part.column(0).to_numpy()[w.doc[: len(h)][ok]]
+
+        yield from _settled(found())
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, period, _ = shape(window)
-        for batch in batches:
-            hs, ids = [], []
-            for part in slices(batch, "text"):
+
+        def found() -> Iterator[tuple]:
+            for part in texts(batches):
                 w = Words(*buffers(part.column(1)))
                 h, ok = _anchors(w, window)
                 told = part.column(2).to_numpy(zero_copy_only=False)
@@ -164,17 +176,14 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = np.arange(len(full))
                 near = c[np.minimum(at + period, len(ok))] > c[np.minimum(at, len(ok))]
                 near &= within(w.first, len(full), window)
-                hs.append(full[near])
-                ids.append(part.column(0).to_numpy()[w.doc[: len(full)][near]])
-            if hs:
-                yield _settle_local(np.concatenate(hs), np.concatenate(ids))
+                yield full[near], part.column(0).to_numpy()[w.doc[: len(full)][near]]
+
+        yield from _settled(found())
 
-    told = keep(_by_hash(docs.mapInArrow(anchors, _ROW), n, True), "anchors")
-    release(spark)
-    some = docs.join(told.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("doc", "text", "hs")
-    found = keep(_by_hash(some.mapInArrow(candidates, _ROW), n, False), "windows")
-    release(spark)
-    return found
+    with scratch(spark):
+        told = keep(_by_hash(in_arrow(docs, anchors, _ROW), n, True), "anchors")
+        some = docs.join(told.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("doc", "text", "hs")
+        return keep(_by_hash(in_arrow(some, candidates, _ROW), n, False), "windows", last=True)
 
 
 def _cut_rows(part: pa.RecordBatch, window: int) -> tuple[list, list, list]:
@@ -202,69 +211,58 @@ def _joined(docs: DataFrame, window: int) -> DataFrame:
     return docs.join(found.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 
 
+def _kept(docs: DataFrame, window: int, last: str, kind: pa.DataType, of) -> DataFrame:
+    """(doc_id, n_words, n_removed, and `last` of what is kept)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in texts(batches):
+            n, gone, kept = _cut_rows(part, window)
+            cols = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([of(x) for x in kept], kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", last])
+
+    got = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
+    return in_arrow(got, run, f"doc_id long, n_words long, n_removed long, {last} string")
+
+
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): documents without the words of windows that a lesser doc_id also holds.
 
     Windows are judged on the input.  kept has the remaining words joined by
     one space.  Null text counts as no words; a null id is lesser or greater
     than none, so such a row is returned whole; rows that repeat an id are one
-    document and don't cut each other.  Other columns of docs are not read.
+    document and don't cut each other; an empty table gives an empty one.
+    Other columns of docs are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n, gone, kept = _cut_rows(part, window)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    got = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
-    return got.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return _kept(docs, window, "kept", pa.string(), bytes.decode)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """As cut_repeats, with the SHA-256 of the kept text in place of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n, gone, kept = _cut_rows(part, window)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256"],
-                )
-
-    got = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
-    return got.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _kept(docs, window, "kept_sha256", pa.string(), lambda x: hashlib.sha256(x).hexdigest())
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated words cut from text, and n_chars counted anew where it is a column.
 
-    Texts that lose nothing keep their white space.  All rows and columns stay.
+    Texts that lose nothing keep their white space.  All rows and columns stay,
+    whatever their names; see cut_repeats for nulls and repeated ids.
     """
-    names = docs.columns
-    found = shared_windows(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc IS NOT NULL AND text IS NOT NULL"), window)
-    found = found.select(F.col("doc").alias("__doc"), F.col("hs").alias("__hs"))
+    names, schema = docs.columns, docs.schema
+    text = names.index("text")
+    of, hs = spare(docs, "of", "hs")
+    found = shared_windows(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc IS NOT NULL AND text IS NOT NULL"), window).toDF(of, hs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                old = part.column(0)
-                two = pa.RecordBatch.from_arrays([old, part.column(1)], ["text", "hs"])
-                _, gone, kept = _cut_rows(two, window)
-                new = pa.array([k.decode() if g else o for k, g, o in zip(kept, gone, old.to_pylist(), strict=True)], pa.string())
-                cols = [new if n == "text" else part.column(i + 2) for i, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    spare = F.lit(None).cast("string").alias("text")
-    rest = [spare if n == "text" else docs[n] for n in names]
-    got = docs.join(found, docs.doc_id == found["__doc"], "left").select(docs.text.alias("__text"), "__hs", *rest)
-    out = got.mapInArrow(run, docs.schema)
+        for part in texts(batches):
+            old = part.column(text)
+            _, gone, kept = _cut_rows(pa.RecordBatch.from_arrays([old, part.column(len(names))], ["text", "hs"]), window)
+            new = pa.array([k.decode() if g else o for k, g, o in zip(kept, gone, old.to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == text else part.column(i) for i in range(len(names))], names)
+
+    got = docs.join(found, docs["doc_id"].cast("long") == found[of], "left").drop(of)
+    out = in_arrow(got, run, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, keep, parts
+from .store import fresh, in_arrow, keep, parts, scratch
 
 #: Shorter payloads are never revisits.
 LEAST_BYTES = 100
@@ -45,15 +45,24 @@ def _field(name: str, value: F.Column) -> F.Column:
     return F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\r\n"))
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """An archive of one record per row of pages (page_id, url, html), by the rules of revisits().
 
     Line breaks in a url are percent-encoded.  Rows without an id are always
-    responses; rows that repeat an id are judged each by its own payload.
+    responses; rows that repeat an id are judged each by its own payload, so
+    there is a record for every row; an empty table gives an archive without
+    records.  Other columns of pages are not read.  With compression "none" the
+    archives are plain WARC files, in which a record can be sought; a gzip file
+    is one stream.
     """
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(parts(pages.sparkSession), size // FILE_BYTES + 1)
-    again = revisits(pages)
+    with scratch(pages.sparkSession):
+        again = revisits(pages)
+        _write(pages, again, files, path, compression)
+
+
+def _write(pages: DataFrame, again: DataFrame, files: int, path: str, compression: str) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     p = p.join(again, (F.col("page_id") == F.col("revisit")) & (F.col("_digest") == F.col("digest")), "left")
@@ -78,7 +87,7 @@ def write(pages: DataFrame, path: str) -> None:
     )
     record = F.concat(head, F.lit("\r\n"), block).alias("value")
     rows = p.select("page_id", record).repartition(files, "page_id") if files > parts(pages.sparkSession) else p.select(record)
-    rows.select("value").write.option("lineSep", _END).option("compression", "gzip").text(path)
+    rows.select("value").write.option("lineSep", _END).option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,7 +116,7 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 out: list[tuple] = []
-                for field, block in parse(gzip.decompress(raw.as_py())):
+                for field, block in parse(gzip.decompress(data) if (data := raw.as_py())[:2] == b"\x1f\x8b" else data):
                     page = field["WARC-Record-ID"][len("<urn:page:") : -1]
                     digest, size = field["WARC-Payload-Digest"].removeprefix("sha256:"), int(field["X-Payload-Length"])
                     to = field.get("WARC-Refers-To")
@@ -122,7 +131,7 @@ def read(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_arrow(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_gray_index_finds_all_pairs_and_refines_full_nodes(spark, monkeypatch):
 
 def sketch_of(text):
     raw = np.frombuffer(text.encode(), np.uint8)
-    return copies.sketch_rows(raw, np.array([0, len(raw)]))[0]
+    return copies.digests(copies.shingle_sets(raw, np.array([0, len(raw)])))[0]
 
 
 def test_near_copies_edge_cases(spark, odd, none):
@@ -235,14 +235,14 @@ def test_run_keeps_what_brute_force_keeps(spark, monkeypatch):
 
     def seen(name, stage):
         def run(spark, docs, sf_dir):
-            given[name] = docs
+            given[name] = [(r.doc_id, r.text) for r in docs.collect()]
             return stage(spark, docs, sf_dir)
 
         return name, run
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [seen(*x) for x in corpus_pipeline.STAGES[:3]])
     assert corpus_pipeline.run(spark, SF).count() > 0
-    before, after = ([(r.doc_id, r.text) for r in given[n].collect()] for n in ("simhash_dedup", "substring_dedup"))
+    before, after = given["simhash_dedup"], given["substring_dedup"]
     assert sorted(i for i, _ in after) == kept_ids(before) and len(after) < len(before)
 
 
