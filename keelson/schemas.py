@@ -1,21 +1,14 @@
-"""Column layouts of the tables that the operators pass around."""
+"""Column layouts of the tables that a store keeps."""
 
 from pyspark.sql import types as T
 
-_L, _S, _I, _B = T.LongType(), T.StringType(), T.IntegerType(), T.BooleanType()
+_L, _S, _I = T.LongType(), T.StringType(), T.IntegerType()
 
 
 def _of(**cols):
     return T.StructType([T.StructField(n, t, True) for n, t in cols.items()])
 
 
-KV = T.StructType([T.StructField("k", _S, False), T.StructField("v", _S, False)])
-VERSIONED = _of(k=_S, v=_S, seq=_L)
+#: A row without v deletes its key.
 SEGMENT = _of(k=_S, v=_S, seq=_L)
 MANIFEST = _of(version=_L, level=_I, pos=_I, sst_id=_L, first_key=_S, last_key=_S, n=_L, bytes=_L)
-LOG = _of(term=_L, idx=_L, k=_S, v=_S, mode=_I, commited=_L)
-ACK = _of(node_id=_I, match_idx=_L)
-VOTE = _of(node_id=_I, term=_L, granted=_B)
-ADDRESS = _of(id=_I, ip=_S, port=_I)
-CONFIG = T.StructType([T.StructField("addresses", T.ArrayType(ADDRESS)), T.StructField("local", ADDRESS)])
-ACCESS = _of(seq=_L, k=_S)

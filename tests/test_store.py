@@ -14,7 +14,7 @@ from keelson.schemas import MANIFEST
 from keelson.sources import config
 from keelson.sources.journal import Journal
 from keelson.sources.store import Store
-from keelson.streaming import apply
+from keelson.streaming import apply, nodes
 
 
 def rows(spark, data):
@@ -398,3 +398,32 @@ def test_locate_before_the_first(spark):
     m = spark.createDataFrame([("b", 1), ("d", 2)], "first_key string, sst_id long")
     k = spark.createDataFrame([("a",), ("b",), ("c",), ("é",), (None,)], "k string")
     assert {r.k: r.sst_id for r in segments.locate(k, m, "k", "sst_id").collect()} == {"a": None, "b": 1, "c": 1, "é": 2, None: None}
+
+
+def test_append_state_outlives_batches_and_restarts(spark, tmp_path):
+    rng = random.Random(5)
+    kind = "node long, seq long, leader long, term long, commited long, first_idx long, n int"
+    data, nth = [], dict.fromkeys(range(4), 0)
+    for i in range(300):
+        node = rng.randrange(4)
+        nth[node] += 1
+        n = rng.choice([0, 1, 1, 1, 2])
+        data.append((node, i, rng.randrange(3), 1 + i // 100, rng.randrange(40), max(1, nth[node] - rng.randrange(3)) if n else None, n))
+    want = sorted(map(tuple, log.solve_appends(spark.createDataFrame(data, kind)).collect()))
+    at, out = (tmp_path / "in").as_uri(), (tmp_path / "out").as_uri()
+    for part in (data[:120], data[120:200], data[200:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(at)
+        src = spark.readStream.schema(kind).parquet(at)
+        nodes.collect_appended(nodes.solve_appends(src), out, (tmp_path / "cp").as_uri())
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want and len({r[2] for r in want}) == 3
+
+
+def test_silent_nodes_time_out(spark, tmp_path):
+    at, out = (tmp_path / "in").as_uri(), (tmp_path / "out").as_uri()
+    beats = [[(1, 0), (2, 0), (1, 3), (3, 1)], [(1, 6), (2, 4), (1, 14)], [(1, 40)], [(1, 41)]]
+    for part in beats:
+        spark.createDataFrame(part, "node long, t long").select("node", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(at)
+        src = spark.readStream.schema("node long, ts timestamp").parquet(at)
+        nodes.collect_appended(nodes.timeouts(src, 5), out, (tmp_path / "cp").as_uri())
+    got = sorted((r.node, r.t) for r in spark.read.parquet(out).select("node", F.unix_timestamp("last_seen").alias("t")).collect())
+    assert got == [(1, 6), (1, 14), (2, 4), (3, 1)]
