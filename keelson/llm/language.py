@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import buffers, texts
-from .store import in_arrow, spare
+from .store import held, in_arrow, spare
 
 #: Bounds of the sample that the automata are built from: rows drawn and bytes used for each language, and the longest text drawn.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 150, 32_768, 16_384
@@ -36,7 +36,7 @@ FULL_LANGS, LEAST_ROWS = 64, 20
 TABLE_BYTES = 96 << 20
 SEGMENT, TAIL = 256, 128
 #: Bytes of symbols that a worker parses at once.
-GRID_BYTES = 16 << 20
+GRID_BYTES = 4 << 20
 #: A text that breaks off MARGIN times more phrases a byte in its best language than held-out text of the
 #: learned ones does (its QUANTILE), and SLACK phrases besides, is in none of them; SLACK is for a name or
 #: key in a short text (one of 20 letters costs about 5).  MAX_RATE holds where there is no held-out text.
@@ -178,16 +178,9 @@ class Model:
         return lang, np.where(letters, score, 0.0), np.maximum(p[np.arange(n), best] - 1, 0) / size
 
 
-_models: dict = {}
-
-
 def _load(samples: dict[str, bytes]) -> Model:
-    """One model a worker, kept over batches and tasks."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    """One model a worker."""
+    return held(hash(tuple(sorted(samples.items()))), lambda: Model(samples))
 
 
 def _held(col: str = "doc_id") -> F.Column:
@@ -275,7 +268,7 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
         for part, lang, score, rate in judged(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "rate"])
 
-    return in_arrow(small, run, "doc_id long, lang_pred string, score double, rate double")
+    return in_arrow(small, run, "doc_id long, lang_pred string, score double, rate double", model=True)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -313,7 +306,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             fine = np.array([x != "und" for x in lang], bool) & (rate <= most + SLACK / np.maximum(size, 1))
             yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names).filter(pa.array(fine))
 
-    return in_arrow(docs, run, schema)
+    return in_arrow(docs, run, schema, model=True)
 
 
 def op3_cross_parsing(spark, sf_dir: str) -> DataFrame:

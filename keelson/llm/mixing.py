@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .kernel import WORD
 from .ordering import ranged, running
-from .store import keep, spare
+from .store import keep, scratch, spare
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, MAX_EPOCHS = 1.5, 2
@@ -104,14 +104,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     num, of, size, at, n, again = spare(docs, "num", "of", "size", "at", "n", "again")
-    rows = keep(docs.withColumn(num, F.monotonically_increasing_id()), "numbered")
-    a = allot(rows.select("doc_id", "text", "source", F.col(num).alias("num")), carry="num").filter("taken > 0")
     copies = F.array(
         F.struct(F.col("position").alias("at"), F.col("first_words").alias("n"), F.lit(0).alias("again")),
         F.struct(F.col("again_position").alias("at"), F.col("again_words").alias("n"), F.lit(1).alias("again")),
     )
-    a = a.select("num", "size", F.explode(copies).alias("c")).filter("c.n > 0").select("num", "size", "c.*").toDF(of, size, at, n, again)
-    got = rows.join(keep(a, "allotted"), F.col(num) == F.col(of)).orderBy(at, num, again)
+    with scratch(docs.sparkSession):
+        rows = keep(docs.withColumn(num, F.monotonically_increasing_id()), "numbered", last=True)
+        a = allot(rows.select("doc_id", "text", "source", F.col(num).alias("num")), carry="num").filter("taken > 0")
+        a = a.select("num", "size", F.explode(copies).alias("c")).filter("c.n > 0").select("num", "size", "c.*").toDF(of, size, at, n, again)
+        a = keep(a, "allotted", last=True)
+    got = rows.join(a, F.col(num) == F.col(of)).orderBy(at, num, again)
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     cut = F.col(n) < F.col(size)
     text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col(n).cast("int")), " ")).otherwise(F.col("text"))

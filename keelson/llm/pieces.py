@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import texts
-from .store import in_arrow, keep, parts, scratch, spare
+from .store import held, in_arrow, keep, parts, scratch, spare
 
 #: Where the public vocabularies are; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and matrices that one step multiplies.
 CHUNK, FAN = 65_536, 16
-#: Words whose pieces a worker remembers.
-MEMORY = 150_000
+#: Words whose pieces a worker remembers, and bytes of text that it looks up at once.
+MEMORY, STEP = 150_000, 2 << 20
 #: Longer words are solved one by one.
 WIDE = 48
 META = "▁"
@@ -590,15 +590,9 @@ def cuts(mats: list, first: tuple = (0, ""), last: tuple | None = None) -> list[
     return [first, *out[::-1]]
 
 
-_models: dict = {}
-
-
 def _load(shared) -> Model:
     """One model a worker, so that its memory of words lasts over batches and tasks."""
-    if shared.id not in _models:
-        _models.clear()
-        _models[shared.id] = Model(*shared.value)
-    return _models[shared.id]
+    return held(shared.id, lambda: Model(*shared.value))
 
 
 class _Shared:
@@ -716,7 +710,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _load(shared)
-        for part in texts(batches):
+        for part in texts(batches, step=STEP):
             some = part.column(at).to_pylist()
             ids = m.words([m.prepared(t or "") for t in some])
             cols = [*part.columns, _ids_array(ids, [t is None for t in some])]
@@ -727,7 +721,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
     d = docs.select(*[docs[n] for n in names])
     is_short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())][: len(added)]
-    small = in_arrow(d.filter(is_short), short, T.StructType([*d.schema.fields, *more]))
+    small = in_arrow(d.filter(is_short), short, T.StructType([*d.schema.fields, *more]), model=True)
 
     # long texts: a key for each, so that repeated ids and rows stay apart
     row = F.struct(*[d[n] for n in names]).alias("row")
@@ -769,12 +763,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, kind: s
             yield _rows(["doc", "k", "ids"], [pa.int64(), pa.int32(), pa.list_(pa.int32())], rows)
 
     with scratch(spark):
-        chunks = in_arrow(long_.select("doc", "row.text"), split, _CHUNKS).repartition(max(parts(spark), 1), "doc", "k")
+        chunks = in_arrow(long_.select("doc", "row.text"), split, _CHUNKS, model=True).repartition(max(parts(spark), 1), "doc", "k")
         chunks = keep(chunks, "chunks")
-        known = scan(keep(in_arrow(chunks, matrices, f"doc long, k int, m {_WEIGHTS}"), "matrices"))
+        known = scan(keep(in_arrow(chunks, matrices, f"doc long, k int, m {_WEIGHTS}", model=True), "matrices"))
         known = known.select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "f", "t")
         both = chunks.join(known, (F.col("doc") == F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc", "k", "n", "text", "start", "stop", "f", "t")
-        got = in_arrow(both, traced, "doc long, k int, ids array<int>")
+        got = in_arrow(both, traced, "doc long, k int, ids array<int>", model=True)
         got = got.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("s"))
         got = keep(got.select(F.col("doc").alias("_d"), F.flatten(F.transform("s", lambda x: x.ids)).alias("ids")), "ids", last=True)
     large = long_.join(got, F.col("doc") == F.col("_d")).select(*[F.col("row")[n].alias(n) for n in names], "ids")
@@ -803,7 +797,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, kind: str | None = None,
 
     (of,) = spare(encoded, "of")
     e = encoded.select(encoded[named].alias(of), *[encoded[n] for n in names])
-    return in_arrow(e, run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]))
+    return in_arrow(e, run, T.StructType([*encoded.select(*names).schema.fields, T.StructField(out, T.StringType())]), model=True)
 
 
 def op1_max_plus_pieces(spark, sf_dir: str) -> DataFrame:

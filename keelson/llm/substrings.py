@@ -26,7 +26,7 @@ from .store import in_arrow, keep, parts, scratch, spare
 
 WINDOW = 13
 #: Rows that one task of the settling shuffle holds, about 40 bytes each, and hashes that a worker settles among its own rows.
-TASK_ROWS, LOCAL_ROWS = 1_000_000, 1 << 20
+TASK_ROWS, LOCAL_ROWS = 500_000, 1 << 18
 
 
 def difference_cover(period: int) -> list[int]:
