@@ -204,6 +204,36 @@ def test_languages_of_long_texts_only_and_tables_that_fit(spark, monkeypatch):
         assert sum(x.nbytes for x in language.fit(t).tables) <= most
 
 
+def test_the_rejection_rate_counts_every_held_out_text_as_a_whole(spark):
+    """More rows than a sample has, long texts and copies, against the quantile of rates that are taken row by row."""
+    rng = random.Random(5)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80)]
+    say = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    learned = [(i, say(40), "aa") for i in range(60)]
+    rows = [(1000 + i, say(rng.randint(1, 30)) + noise(rng.randint(0, 40)), "aa") for i in range(1500)]
+    rows += [(3000 + i, noise(17_000 + i), "aa") for i in range(12)] + [(4000 + i, rows[0][1], "aa") for i in range(300)]
+    other = [(5000, noise(90), "zz"), (5001, noise(90), None), (5002, None, "aa"), (5003, "", "aa"), (5004, "12 34", "aa")] * 40
+    schema = "doc_id long, text string, lang string"
+    model = language.fit(spark.createDataFrame(learned, schema))
+    for some in (rows, rows[:1], rows[:2], rows[-13:]):
+        rates = [model.predict(*buffers(pa.array([t])), np.ones(1, bool))[2][0] for _, t, _ in some]
+        got = language.most_rate(model, spark.createDataFrame(some + other, schema).repartition(3))
+        assert math.isclose(got, language.MARGIN * np.quantile(rates, language.QUANTILE), rel_tol=1e-12)
+    assert language.most_rate(model, spark.createDataFrame(other, schema)) == language.MAX_RATE
+
+
+def test_held_out_long_texts_set_the_rejection_rate(spark):
+    """Texts longer than those learned from, all of one kind, are a tenth of their language and stay."""
+    rng = random.Random(6)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(voc) for _ in range(200)), "aa") for i in range(200)]
+    rows += [(1000 + i, "".join(rng.choice("abcdefgh ") for _ in range(17_000)), "aa") for i in range(20)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert t.filter("doc_id >= 1000 AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) = 2").count() > 3
+    assert {r.doc_id for r in language.keep_identified(t).collect()} == {i for i, _, _ in rows}
+
+
 def naive(model, x):
     """Score of one bag, passage by passage."""
     p, hs, gs = model.p, [], []
